@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetlake.llm import components, history, survivors
+from assetlake.llm import components, history, language, leakage, packing, survivors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,7 +27,31 @@ def p5_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden_records(_t(spark, d, "duplicate_groups"), _t(spark, d, "file_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_golden)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_ids(packing.pack_documents(_t(spark, d, "documents")))
+
+
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_t(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "eval_items"), _t(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(_t(spark, d, "documents")).select("doc_id", "lang")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return language.segments(documents, language.fit(*language.training_sample(documents)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p4_found, p5_found, p5_golden, p7_found, p7_assignment, p8_found, p9_found, p9_segments)
+}
 
 _ID = r"nullif(lower(regexp_replace({}, '^[\s\x00]+|[\s\x00]+$', '', 'g')), '')"
 _HASH = r"nullif(regexp_replace(lower(regexp_replace({}, '^[\s\x00]+|[\s\x00]+$', '', 'g')), '^(sha-?256[:=]\s*)?(0x)?', ''), '')"
@@ -98,6 +122,7 @@ b AS (
   SELECT group_id, {_best("sr")} AS exif_status, {_best("dr")} AS date_source, {_best("zr")} AS file_size, {_best("sr, dr, zr")} AS survivor
   FROM m GROUP BY group_id)
 UNPIVOT b ON exif_status, date_source, file_size, survivor INTO NAME field VALUE file_id""",
+    "p7_found": "SELECT doc_id FROM documents WHERE coalesce(octet_length(encode(text)), 0) + 1 > 4096",
     "p5_golden": f"""
 WITH {_MEMBERS},
 o AS (SELECT *, row(-coalesce(epoch_us(created_at), -4611686018427387904), file_id) AS tie FROM m),
