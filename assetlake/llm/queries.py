@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetlake.llm import components, history, language, leakage, packing, survivors
+from assetlake.llm import components, history, language, leakage, names, packing, survivors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(components.match_links(_t(spark, d, "perceptual_match"))).withColumnRenamed("id", "file_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = names.variant_pairs(names.typed_names(_t(spark, d, "audio"), _t(spark, d, "video")))
+    return found.select("field", "name_a", "name_b")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats_of_history(_t(spark, d, "file_records"), _t(spark, d, "sessions"), _t(spark, d, "hashes"))
 
@@ -50,7 +55,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p4_found, p5_found, p5_golden, p7_found, p7_assignment, p8_found, p9_found, p9_segments)
+    for f in (p1_found, p3_found, p4_found, p5_found, p5_golden, p7_found, p7_assignment, p8_found, p9_found, p9_segments)
 }
 
 _ID = r"nullif(lower(regexp_replace({}, '^[\s\x00]+|[\s\x00]+$', '', 'g')), '')"
@@ -135,7 +140,7 @@ c AS (
   FROM x JOIN o ON o.group_id = x.group_id AND o.sha IS NOT DISTINCT FROM x.sha GROUP BY x.group_id, x.sha),
 z AS (
   SELECT c.group_id, c.survivor_id, c.sha, c.k, o.file_size, o.file_id AS size_from, o.zr, o.tie,
-    (1 - c.k[1] / 4.0::DOUBLE) + (1 - c.k[2] / 4.0::DOUBLE) + (1 - 1 / (2.0::DOUBLE - o.zr)) AS trust
+    (1 - c.k[1] / 4.0::DOUBLE) + 0.2 * (1 - c.k[2] / 4.0::DOUBLE) + 0.01 * (1 - 1 / (2.0::DOUBLE - c.k[3])) + (1 - 1 / (2.0::DOUBLE - o.zr)) AS trust
   FROM c JOIN o ON o.group_id = c.group_id AND (c.y IS NULL OR o.file_size IS NULL OR o.file_size = c.y)),
 w AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, k, zr, tie) AS n FROM z)
 SELECT w.group_id, w.survivor_id, w.sha AS sha256_hash, e.exif_status, d.date_source, d.date_value, w.file_size, w.size_from
