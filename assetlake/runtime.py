@@ -6,8 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -97,4 +96,20 @@ def skew_lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
     return left.where(is_hot).join(small, key, "left").unionByName(left.where(~is_hot).join(right, key, "left"))
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "bounded_broadcast", "cut", "discard", "shared_dir", "skew_lookup"]
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """df with `out`: the row's place from 1 among those of its keys, by `order`, which must tell all rows apart.
+
+    Rows are sorted over all tasks at once, counted by key and task, and numbered from what came in tasks before: a
+    key with a third of all rows is sorted by many tasks.
+    """
+    parts = cut(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*keys, "_chunk").count()
+    offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    conditions = [parts[k].eqNullSafe(offsets[k]) for k in [*keys, "_chunk"]]
+    joined = parts.join(offsets, conditions, "left").select(*[parts[c] for c in parts.columns], offsets["_offset"])
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
+
+
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "skew_lookup"]
