@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assetlake.config import DATE_PATTERNS
+from assetlake.functions.binding import let
 from assetlake.functions.paths import basename, parent_name, stem
 
 
@@ -20,16 +21,23 @@ def name_date(text: Column, confidence: float, patterns: tuple[str, ...] = DATE_
     for p in patterns:
         at = {m: k for k, m in enumerate(re.findall(r"\(\?P<(\w)>", p), 1)}
         java = re.sub(r"\(\?P<\w>", "(", p)
-        part = {m: F.regexp_extract(text, java, k).try_cast("int") for m, k in at.items()}
-        y, mo, d, h, mi, s = (part.get(m, F.lit(0)) for m in "YmdHMS")
-        sane = y.between(1900, 2100) & mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
-        date = F.try_make_timestamp_ntz(y, mo, d, h, mi, s.cast("decimal(8,6)"))
         order = [m for m in at if m in "Ymd"]
-        sure = F.when((d <= 12) & (mo <= 12), confidence * 0.5).otherwise(confidence) if order[0] == "d" else F.lit(confidence)
-        tried.append(F.when(sane & date.isNotNull(), F.struct(date.alias("date"), sure.alias("confidence"))))
+        parts = F.array(*(F.regexp_extract(text, java, at[m]).try_cast("int") if m in at else F.lit(0) for m in "YmdHMS"))
+        tried.append(_bound(parts, confidence, order[0]))
     return F.coalesce(*tried)
 
 
+def _bound(parts: Column, confidence: float, first: str) -> Column:
+    return let(parts, lambda g: _dated(*(F.get(g, k) for k in range(6)), confidence, first))
+
+
+def _dated(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, confidence: float, first: str) -> Column:
+    sane = y.between(1900, 2100) & mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
+    sure = F.when((d <= 12) & (mo <= 12), confidence * 0.5).otherwise(confidence) if first == "d" else F.lit(confidence)
+    made = let(F.when(sane, F.try_make_timestamp_ntz(y, mo, d, h, mi, s.cast("decimal(8,6)"))), lambda x: F.when(x.isNotNull(), F.struct(x.alias("date"), sure.alias("confidence"))))
+    return made
+
+
 def exif_date(text: Column) -> Column:
     """timestamp_ntz of a metadata date in one of five forms; null for others, blanks and 0000 dates."""
     t = F.trim(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlake import rules
 from assetlake.functions.paths import basename, extension, parent_dir, stem
-from assetlake.runtime import ranked
+from assetlake.runtime import cut, ranked
 
 
 def raw_jpeg_pairs(files: DataFrame, path: str = "source_path", folder: Column | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def sidecars(files: DataFrame, path: str = "source_path", extensions: tuple[str,
     videos = d.where(F.col("ext").isin(*rules.dotted(rules.VIDEO))).select(F.col("path").alias("video_path"), "dir", F.col("name").alias("video_name"), F.col("stem").alias("video_stem"))
     cars = d.where(F.col("ext").isin(*extensions)).select(F.col("path").alias("sidecar_path"), "dir", "name", "stem")
     # Each leading part of a sidecar's name that ends before a dot may be a video's name, or be its stem: equi-joins.
-    heads = cars.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\."))), lambda i: F.substring_index("name", ".", i)))).alias("head"))
+    heads = cars.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\."))), lambda i: F.array_join(F.slice(F.split("name", r"\."), 1, i), ".")))).alias("head"))
     whole = heads.join(videos, (heads.dir == videos.dir) & (heads["head"] == videos.video_name)).select("video_path", "sidecar_path")
     same = cars.join(videos, (cars.dir == videos.dir) & (cars.stem == videos.video_stem)).select("video_path", "sidecar_path")
     return whole.unionByName(same).distinct()
@@ -58,15 +58,15 @@ def bursts(files: DataFrame, camera: Column, date: Column, flagged: Column, patt
     """(layer, burst_key, member, burst_index): files that metadata calls a burst (of at least two in a second from a
     camera), else files whose names do (two with one prefix and camera), else three of a camera within a second. Each
     file belongs to one group."""
-    second = F.date_trunc("second", date).cast("timestamp_ntz")
-    name = stem(F.col(path))
+    named = files.select(F.col(member), F.col(path), camera.alias("_camera"), F.date_trunc("second", date).cast("timestamp_ntz").alias("_second"), flagged.alias("_flagged"), stem(F.col(path)).alias("_stem"))
+    left = cut(named, "shots")
+    camera, second, flagged, name = F.col("_camera"), F.col("_second"), F.col("_flagged"), F.col("_stem")
     prefix = F.coalesce(F.nullif(F.regexp_extract(name, r"^(.+?)[_\-](?:BURST|BRACKETED|burst|bracketed)\d*", 1), F.lit("")), name)
-    left = files
     out = None
     layers = (
         ("exif", flagged, [camera, second], 2),
         ("name", rules.any_glob(name, patterns), [F.lower(prefix), camera], 2),
-        ("time", date.isNotNull(), [camera, second], 3),
+        ("time", second.isNotNull(), [camera, second], 3),
     )
     for layer, use, keys, least in layers:
         found = burst_layer(left.where(use), keys, least, layer, member, path)

@@ -106,8 +106,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy(*keys, "_chunk").count()
     offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    conditions = [parts[k].eqNullSafe(offsets[k]) for k in [*keys, "_chunk"]]
-    joined = parts.join(offsets, conditions, "left").select(*[parts[c] for c in parts.columns], offsets["_offset"])
+    names = [*keys, "_chunk"]
+    offsets = offsets.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(names)), "_offset")
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(names)]
+    joined = parts.join(offsets, same, "left").drop(*(f"_o{i}" for i in range(len(names))))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
