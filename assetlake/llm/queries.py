@@ -97,10 +97,12 @@ SQL = {
     "p1_found": f"""
 WITH RECURSIVE l AS (
   SELECT DISTINCT {_id("file_a_id")} AS a, {_id("file_b_id")} AS b FROM perceptual_match
-  WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND (CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END) >= 0.95),
-e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+  WHERE similarity BETWEEN 0.95 AND 1 OR similarity BETWEEN 95 AND 1e300),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM l WHERE a <> b UNION SELECT b FROM l WHERE a <> b)),
+m AS (SELECT x.k AS a, y.k AS b FROM l JOIN n x ON x.id = l.a JOIN n y ON y.id = l.b WHERE l.a <> l.b),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
 reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
-SELECT a AS file_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+SELECT n.id AS file_id, g.id AS group_id FROM (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a) JOIN n ON n.k = a JOIN n g ON g.k = c""",
     "p4_found": f"""
 WITH s AS (
   SELECT {_id("id")} AS session, arg_max(created_at, updated_at) AS began FROM sessions GROUP BY 1),
