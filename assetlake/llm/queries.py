@@ -97,7 +97,8 @@ SQL = {
     "p1_found": f"""
 WITH RECURSIVE l AS (
   SELECT DISTINCT {_id("file_a_id")} AS a, {_id("file_b_id")} AS b FROM perceptual_match
-  WHERE similarity BETWEEN 0.95 AND 1 OR similarity BETWEEN 95 AND 1e300),
+  -- by its text, as the statistics of a Parquet file may deny that it holds NaN
+  WHERE CAST(similarity AS VARCHAR) NOT ILIKE '%nan%' AND (CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END) >= 0.95),
 n AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM l WHERE a <> b UNION SELECT b FROM l WHERE a <> b)),
 m AS (SELECT x.k AS a, y.k AS b FROM l JOIN n x ON x.id = l.a JOIN n y ON y.id = l.b WHERE l.a <> l.b),
 e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
