@@ -91,12 +91,12 @@ def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> Dat
     parsed = parsed.withColumn("_named", F.when(F.col("_off").isNull() & ~F.col("_utc"), F.col("_z"))).withColumn(
         "_year", F.when(F.col("_named").isNotNull(), F.year(F.timestamp_seconds("_s")))
     )
-    spans = F.broadcast(interval_table(df.sparkSession))
-    joined = parsed.join(spans, (F.col("_named") == F.col("zone_key")) & (F.col("_year") == F.col("year")), "left")
+    spans = F.broadcast(interval_table(df.sparkSession).toDF("_zone_key", "_zone_year", "_spans"))
+    joined = parsed.join(spans, (F.col("_named") == F.col("_zone_key")) & (F.col("_year") == F.col("_zone_year")), "left")
     s = F.col("_s")
-    holding = F.filter("spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
+    holding = F.filter("_spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
     # Two intervals: the larger offset is the earlier instant. None: the last interval that ended before.
-    ended = F.filter("spans", lambda x: x["hi"] <= s)
+    ended = F.filter("_spans", lambda x: x["hi"] <= s)
     named_off = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda x: x["off"]))).when(
         F.size(ended) > 0, F.array_max(F.transform(ended, lambda x: F.struct(x["hi"], x["off"])))["off"]
     )

@@ -299,8 +299,27 @@ def category_size_estimate(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(t)).select("category", "files", F.floor(F.col("files") * (F.col("b") / F.col("n"))).cast("bigint").alias("bytes"))
 
 
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes that a stream of the records accepts, whatever batches it falls into."""
+    import uuid
+
+    from assetlake.runtime import shared_dir
+    from assetlake.streaming import ingest
+
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "file_records")
+    ingest.start_ingest(spark, f"{d}/file_records.parquet", source.schema, root).awaitTermination()
+    return ingest.accepted(spark, root).select("sha256_hash")
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    from assetlake.streaming import ingest
+
+    return ingest.events_per_window(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 3).alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
-    dedup_survivor, dedup_arrival, dedup_groups, record_groups, manifest_semi, manifest_anti, records_known, manifest_merge, incremental_diff, rescan_diff, scan_report,
+    stream_ingest, event_windows, dedup_survivor, dedup_arrival, dedup_groups, record_groups, manifest_semi, manifest_anti, records_known, manifest_merge, incremental_diff, rescan_diff, scan_report,
     completed_anti, pair_exactly_one, record_pairs, pair_link, pairs_unresolved, sidecar_match, burst_layered, burst_time_layer, date_tiers, day_majority, type_majority,
     neighbour_majority, similar_pairs, similar_vectors, dest_path, collision_suffix, record_destinations, session_stats, preview_summary, preview_by_category, organized,
     preview_skip_reasons, record_categories, record_skip_reasons, detail_report, space_check, undo_verify, review_suggestions, high_confidence, running_progress,
@@ -364,6 +383,8 @@ review AS (SELECT file_id,
 
 
 SQL = {
+    "stream_ingest": f"SELECT DISTINCT {HASH.format('sha256_hash')} AS sha256_hash FROM file_records WHERE {HASH.format('sha256_hash')} IS NOT NULL",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "dedup_survivor": f"{_A} SELECT file_id, row_number() OVER (PARTITION BY sha256_hash ORDER BY length(source_path), mtime, source_path) > 1 AND sha256_hash IS NOT NULL AS is_duplicate FROM assets",
     "dedup_arrival": f"{_A} SELECT a.file_id, a.sha256_hash IS NOT NULL AND EXISTS (SELECT 1 FROM assets b WHERE b.sha256_hash = a.sha256_hash AND b.arrival < a.arrival AND row(length(b.source_path), b.mtime, b.source_path) <= row(length(a.source_path), a.mtime, a.source_path)) AS is_duplicate FROM assets a",
     "dedup_groups": f"{_A} SELECT session_id, sha256_hash, arg_min(file_id, row(length(source_path), mtime, source_path, file_id)) AS winner_file_id, count(*) AS file_count, CAST(sum(file_size) - arg_min(file_size, row(length(source_path), mtime, source_path, file_id)) AS BIGINT) AS bytes_saved FROM assets WHERE sha256_hash IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
