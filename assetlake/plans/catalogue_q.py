@@ -127,7 +127,7 @@ def sidecar_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shots(spark: SparkSession, d: str) -> DataFrame:
-    return assets(spark, d).select("*", dates.date_result(F.col("date_original"), P).alias("r")).select("*", "r.date")
+    return assets(spark, d).select("*", dates.date_result(F.col("date_original"), P()).alias("r")).select("*", "r.date")
 
 
 def burst_layered(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def burst_time_layer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def date_tiers(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(spark, d).select("file_id", dates.date_result(F.col("date_original"), P, F.when(F.col("file_id") % 3 == 0, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))).alias("r"))
+    a = assets(spark, d).select("file_id", dates.date_result(F.col("date_original"), P(), F.when(F.col("file_id") % 3 == 0, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))).alias("r"))
     return a.select("file_id", "r.date", "r.source", "r.confidence")
 
 
@@ -180,8 +180,8 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _destined(spark: SparkSession, d: str) -> DataFrame:
-    a = _shots(spark, d).withColumn("category", category_of()).withColumn("file_type", paths.file_type_of(P))
-    return a.withColumn("dest_path", destinations.destination("/library", F.col("file_type"), F.col("category"), paths.stem(P), paths.extension(P), F.col("date"), F.col("make"), F.col("model")))
+    a = _shots(spark, d).withColumn("category", category_of()).withColumn("file_type", paths.file_type_of(P()))
+    return a.withColumn("dest_path", destinations.destination("/library", F.col("file_type"), F.col("category"), paths.stem(P()), paths.extension(P()), F.col("date"), F.col("make"), F.col("model")))
 
 
 def dest_path(spark: SparkSession, d: str) -> DataFrame:
@@ -190,13 +190,13 @@ def dest_path(spark: SparkSession, d: str) -> DataFrame:
 
 def collision_suffix(spark: SparkSession, d: str) -> DataFrame:
     """Files by extension only, so that all names of a type collide."""
-    a = assets(spark, d).select("file_id", "arrival", F.concat(F.lit("/library/file"), F.lower(paths.extension(P))).alias("dest_path"))
+    a = assets(spark, d).select("file_id", "arrival", F.concat(F.lit("/library/file"), F.lower(paths.extension(P()))).alias("dest_path"))
     return destinations.without_collisions(a, "dest_path", "arrival").select("file_id", "final_path")
 
 
 def record_destinations(spark: SparkSession, d: str) -> DataFrame:
     """Names of records in a flat folder, against those that accepted files hold already."""
-    r = records(spark, d).select("file_id", F.concat(F.lit("/flat/"), paths.basename(P)).alias("dest_path"))
+    r = records(spark, d).select("file_id", F.concat(F.lit("/flat/"), paths.basename(P())).alias("dest_path"))
     t = table(spark, d, "hashes").select(F.concat(F.lit("/flat/"), paths.basename(F.col("rel_path"))).alias("dest_path"))
     return destinations.without_collisions(r, "dest_path", "file_id", t).select("file_id", "final_path")
 
@@ -216,7 +216,7 @@ def preview_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 def organized(spark: SparkSession, d: str) -> DataFrame:
     """The plan of a run: every file with status, skip_reason and, for those to copy, destination."""
-    a = _destined(spark, d).withColumn("reject", paths.reject_reason(P, F.col("file_size")))
+    a = _destined(spark, d).withColumn("reject", paths.reject_reason(P(), F.col("file_size")))
     kept = a.where("reject is null and file_type <> 'unknown'").select("file_id", "source_path", "mtime", "sha256_hash")
     dups = dedup.survivors(kept, ["sha256_hash"]).select("file_id", "is_duplicate")
     j = a.join(dups, "file_id", "left")
@@ -308,7 +308,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "file_records")
-    ingest.start_ingest(spark, f"{d}/file_records.parquet", source.schema, root).awaitTermination()
+    ingest.start_ingest(spark, f"{d}/file_record[s].parquet", source.schema, root).awaitTermination()
     return ingest.accepted(spark, root).select("sha256_hash")
 
 
@@ -383,7 +383,7 @@ review AS (SELECT file_id,
 
 
 SQL = {
-    "stream_ingest": f"SELECT DISTINCT {HASH.format('sha256_hash')} AS sha256_hash FROM file_records WHERE {HASH.format('sha256_hash')} IS NOT NULL",
+    "stream_ingest": f"{_R} SELECT DISTINCT sha AS sha256_hash FROM records WHERE sha IS NOT NULL",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "dedup_survivor": f"{_A} SELECT file_id, row_number() OVER (PARTITION BY sha256_hash ORDER BY length(source_path), mtime, source_path) > 1 AND sha256_hash IS NOT NULL AS is_duplicate FROM assets",
     "dedup_arrival": f"{_A} SELECT a.file_id, a.sha256_hash IS NOT NULL AND EXISTS (SELECT 1 FROM assets b WHERE b.sha256_hash = a.sha256_hash AND b.arrival < a.arrival AND row(length(b.source_path), b.mtime, b.source_path) <= row(length(a.source_path), a.mtime, a.source_path)) AS is_duplicate FROM assets a",

@@ -11,21 +11,22 @@ from assetlake.functions import dates, fmt, ids, media, paths
 from assetlake.operators import categorize, detect
 from assetlake.plans.assets import ASSETS_SQL, assets, table
 
-P = F.col("source_path")
+def P():  # noqa: N802
+    return F.col("source_path")
 
 
 def ext_split(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "file_records").select("source_path").distinct()
-    return f.select(P.alias("source_path"), paths.basename(P).alias("name"), paths.stem(P).alias("stem"), paths.extension(P).alias("ext"), paths.parent_name(P).alias("folder"))
+    return f.select(P().alias("source_path"), paths.basename(P()).alias("name"), paths.stem(P()).alias("stem"), paths.extension(P()).alias("ext"), paths.parent_name(P()).alias("folder"))
 
 
 def ext_to_type(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "source_manifest").select(F.col("file_path").alias("source_path"))
-    return m.groupBy(paths.file_type_of(P).alias("file_type"), paths.mime_of(P).alias("mime")).agg(F.count(F.lit(1)).alias("files"))
+    return m.groupBy(paths.file_type_of(P()).alias("file_type"), paths.mime_of(P()).alias("mime")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def glob_match(spark: SparkSession, d: str) -> DataFrame:
-    name = paths.basename(P)
+    name = paths.basename(P())
     globs = {"social": Config().social_media_image_patterns, "shots": Config().screenshot_filename_patterns, "calls": Config().call_recording_patterns}
     f = table(spark, d, "file_records").select("source_path").unionByName(assets(spark, d).select("source_path")).distinct()
     return f.select("source_path", *(rules.any_glob(name, g).alias(k) for k, g in globs.items()))
@@ -59,7 +60,7 @@ def fmt_times(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_name_date(spark: SparkSession, d: str) -> DataFrame:
     f = assets(spark, d).select("source_path").unionByName(table(spark, d, "file_records").select("source_path")).distinct()
-    r = dates.name_date(paths.stem(P), 0.8)
+    r = dates.name_date(paths.stem(P()), 0.8)
     return f.select("source_path", r["date"].alias("date"), r["confidence"].alias("confidence"))
 
 
@@ -115,28 +116,28 @@ def phash_similarity(spark: SparkSession, d: str) -> DataFrame:
 def skip_rules(spark: SparkSession, d: str) -> DataFrame:
     a = assets(spark, d)
     size = F.col("file_size")
-    return a.select("source_path", paths.reject_reason(P, size).alias("reason"), paths.cloud_stub(P, size).alias("stub"), paths.skip_pattern(P, Config().skip_filename_patterns).alias("pattern"))
+    return a.select("source_path", paths.reject_reason(P(), size).alias("reason"), paths.cloud_stub(P(), size).alias("stub"), paths.skip_pattern(P(), Config().skip_filename_patterns).alias("pattern"))
 
 
 def sniffed_types(spark: SparkSession, d: str) -> DataFrame:
     """Heads made of the kind of a path, so that each rule of detection is met."""
     heads = ["RIFFxxxxWEBP", "RIFFxxxxAVI ", "RIFFxxxxJUNK", "xxxxftypM4A ", "xxxxftypisom", "xxxxftypzzzz", "OggS", "%PDF-1.7", "GIF89a", "BM", ""]
     a = assets(spark, d).select("file_id", "source_path", F.element_at(F.array(*map(F.lit, heads)), (F.col("file_id") % 11 + 1).cast("int")).cast("binary").alias("head"))
-    t = detect.content_type(P, F.col("head"))
+    t = detect.content_type(P(), F.col("head"))
     return a.select("file_id", t["mime"].alias("mime"), t["file_type"].alias("file_type"))
 
 
 def categorized(spark: SparkSession, d: str) -> DataFrame:
     a = assets(spark, d)
-    return a.select("file_id", paths.file_type_of(P).alias("file_type"), category_of().alias("category"))
+    return a.select("file_id", paths.file_type_of(P()).alias("file_type"), category_of().alias("category"))
 
 
 def category_of():
     c = F.col
     has_date = c("date_original").isNotNull()
-    image = categorize.image_category(P, c("software"), c("make"), c("has_location"), c("width"), c("height"), has_date)
-    video = categorize.video_category(P, c("duration_seconds"), F.lit(False), c("make"), c("model"), c("has_location"))
-    return categorize.category(paths.file_type_of(P), image, video, categorize.audio_category(P, c("has_tags")), categorize.document_category(P))
+    image = categorize.image_category(P(), c("software"), c("make"), c("has_location"), c("width"), c("height"), has_date)
+    video = categorize.video_category(P(), c("duration_seconds"), F.lit(False), c("make"), c("model"), c("has_location"))
+    return categorize.category(paths.file_type_of(P()), image, video, categorize.audio_category(P(), c("has_tags")), categorize.document_category(P()))
 
 
 def categorize_records(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +147,7 @@ def categorize_records(spark: SparkSession, d: str) -> DataFrame:
     x = lambda n: F.col(f"e.{n}")
     gps = x("gps_lat").isNotNull() | x("gps_lon").isNotNull()
     dated = x("date_original").isNotNull() | x("date_digitized").isNotNull() | x("date_modified").isNotNull()
-    return r.join(e, "file_id").select("file_id", categorize.image_category(P, x("software"), x("make"), gps, x("width"), x("height"), dated).alias("category"))
+    return r.join(e, "file_id").select("file_id", categorize.image_category(P(), x("software"), x("make"), gps, x("width"), x("height"), dated).alias("category"))
 
 
 QUERIES = {f.__name__: f for f in (

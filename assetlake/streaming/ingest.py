@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assetlake.functions.ids import norm_hash, norm_id
+from assetlake.functions.ids import norm_hash
+from assetlake.functions.records import current_records
 from assetlake.sources import store
 
 
@@ -15,8 +16,7 @@ def ingest_batch(batch: DataFrame, epoch: int, root: str) -> None:
     the hashes that it accepts. Writes go to folders of the epoch and replace what an earlier try left, so that a
     batch that is run again counts once."""
     spark = batch.sparkSession
-    rows = batch.select(norm_id("id").alias("file_id"), "source_path", norm_hash("sha256_hash").alias("sha256_hash"), "file_size", "created_at").where("file_id is not null")
-    rows = rows.groupBy("file_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "file_id"]), "created_at").alias("r")).select("file_id", "r.*")
+    rows = current_records(batch, "source_path", "sha256_hash", "file_size", "created_at").withColumn("sha256_hash", norm_hash("sha256_hash"))
     known = accepted(spark, root, epoch).select("sha256_hash").distinct().withColumn("_known", F.lit(True))
     best = rows.where("sha256_hash is not null").groupBy("sha256_hash").agg(F.min(F.struct("created_at", "file_id")).alias("_b"))
     j = rows.join(known, "sha256_hash", "left").join(best, "sha256_hash", "left")
