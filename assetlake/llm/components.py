@@ -47,19 +47,20 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     darts = inner.select(F.explode(F.array(
         F.struct(F.col("lo").alias("u"), "v", F.col("v").alias("nu"), F.col("hi").alias("nv")),
         F.struct(F.col("hi").alias("u"), "v", F.col("v").alias("nu"), F.col("lo").alias("nv")))).alias("d")).select("d.*")
-    ptr = cut(darts.select("u", "v", "nu", "nv", F.least("u", "v", "nv").alias("least"), F.lit(False).alias("done")), "darts")
+    ptr = cut(darts.select("u", "v", "nu", "nv", F.least("u", "v", "nv").alias("least"), F.lit(False).alias("done"), F.lit(False).alias("news")), "darts")
     step = 0
     while True:
         ahead = ptr.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("nu2"), F.col("nv").alias("nv2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
         # A dart whose successor isn't there has reached an end of its chain.
         moved = ptr.where("not done").join(ahead, ["nu", "nv"], "left").select(
             "u", "v", F.coalesce("nu2", "nu").alias("nu"), F.coalesce("nv2", "nv").alias("nv"),
-            F.least("least", "least2").alias("least"), (F.col("nu2").isNull() | F.col("done2")).alias("done"))
-        new = cut(ptr.where("done").unionByName(moved), "darts")
+            F.least("least", "least2").alias("least"), (F.col("nu2").isNull() | F.col("done2")).alias("done"), (F.least("least", "least2") < F.col("least")).alias("news"))
+        new = cut(ptr.where("done").withColumn("news", F.lit(False)).unionByName(moved.withColumn("news", F.col("news") | F.col("done"))), "darts")
         discard(ptr)
         ptr, step = new, step + 1
-        # Darts of a cycle never end: after doubling past all vertices each has seen its whole cycle.
-        if not ptr.where("not done").limit(1).count() or 2**step > 2 * n:
+        # Darts of a cycle never end. In a chain some dart ends at each step, so that when none did, and no dart saw a
+        # smaller vertex, only cycles are left, and each of their darts has seen the least of its cycle.
+        if not ptr.where("news").limit(1).count() or 2**step > 2 * n:
             break
     both = ptr.groupBy("v").agg(F.min("nv").alias("e"), F.max("nv").alias("f"), F.min("least").alias("least"), F.bool_and("done").alias("ended"))
     gone = cut(both.select("v", F.when(F.col("ended"), F.col("e")).otherwise(F.col("least")).alias("p"), "e", "f", "ended"), "chains")
