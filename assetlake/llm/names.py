@@ -125,9 +125,19 @@ def _within(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
+def _split(t: list[str], w: list[float], c: list[str], u: list[str], wu: list[float], cu: list[str]):
+    """t, w, c with tokens that are two neighbours of u written as one taken apart."""
+    ends = {u[m] + u[m + 1]: m for m in range(len(u) - 1)}
+    if not any(x in ends for x in t):
+        return t, w, c
+    out = [([u[m], u[m + 1]], wu[m : m + 2], cu[m : m + 2]) if (m := ends.get(x, -1)) >= 0 else ([x], [w[k]], [c[k]]) for k, x in enumerate(t)]
+    return tuple([y for part in out for y in part[i]] for i in range(3))
+
+
 def same_name(ta: list[str], tb: list[str], wa: list[float], wb: list[float], ca: list[str], cb: list[str]) -> float:
     """Soft weighted similarity of two names, 0 if they contradict. t: tokens, w: their weights, c: the common
     spelling of each."""
+    ta, wa, ca, tb, wb, cb = *_split(ta, wa, ca, tb, wb, cb), *_split(tb, wb, cb, ta, wa, ca)
     pairs = []
     for i, x in enumerate(ta):
         for j, y in enumerate(tb):
@@ -135,29 +145,18 @@ def same_name(ta: list[str], tb: list[str], wa: list[float], wb: list[float], ca
             if s:
                 pairs.append((s, min(wa[i], wb[j]), i, j))
     used_a, used_b, got, full, rare = set(), set(), 0.0, 0, False
-    heavy_a, heavy_b = 0.95 * max(wa, default=0.0), 0.95 * max(wb, default=0.0)
+    heavy_a, heavy_b = PREFIX_SHARE * max(wa, default=0.0), PREFIX_SHARE * max(wb, default=0.0)
     for s, w, i, j in sorted(pairs, key=lambda p: (-p[0], -p[1], p[2], p[3])):
         if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
             got += s * w
             full += ta[i] not in SILENT
-            rare |= wa[i] >= heavy_a and wb[j] >= heavy_b and s > 0.8
+            rare |= s > 0.8 and wa[i] >= heavy_a and wb[j] >= heavy_b and ta[i] not in SHARED and tb[j] not in SHARED
     rest_a, rest_b = ([k for k in range(len(t)) if k not in used] for t, used in ((ta, used_a), (tb, used_b)))
-    # Two tokens written as one.
-    for t, rest, other, orest in ((ta, rest_a, tb, rest_b), (tb, rest_b, ta, rest_a)):
-        for k in list(rest):
-            for m in list(orest):
-                if m + 1 < len(other) and t[k] == other[m] + other[m + 1] or m and t[k] == other[m - 1] + other[m]:
-                    if k in rest:
-                        rest.remove(k)
-                        got += (wa if t is ta else wb)[k]
-                        full += 1
-                        rare |= (wa if t is ta else wb)[k] >= (heavy_a if t is ta else heavy_b)
-                    orest[:] = [x for x in orest if x != m and not (x == m + 1 and t[k] == other[m] + other[m + 1])]
-    if not rare:  # the rarest token of each must stand for that of the other, not for an initial
+    if not rare:  # a rare token of each must stand for one of the other, not for an initial
         return 0.0
-    loose = lambda t, rest: [k for k in rest if t[k] not in SILENT and not (len(t[k]) == 1 and full > 1)]
+    loose = lambda t, rest: [k for k in rest if t[k] not in SILENT and not (t[k].isalpha() and len(t[k]) == 1 and full > 1)]
     left_a, left_b = loose(ta, rest_a), loose(tb, rest_b)
     if left_a and left_b or any(ta[k].isdigit() for k in left_a) or any(tb[k].isdigit() for k in left_b):
         return 0.0

@@ -31,7 +31,7 @@ def test_sentences_of_other_authors(model):
 
 def test_held_out_documents(spark, model):
     """Rows of another scale, labels as given: nearly all labels are right, so agreement must be high."""
-    d = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("doc_id % 7 = 0")
+    d = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("doc_id % 5 = 0")
     langs = language.text_languages(language.segments(d, model))
     told = d.select("doc_id", language.label_language("lang").alias("told")).where("told is not null")
     first = langs.groupBy("doc_id").agg(F.max_by("lang", "sentences").alias("lang")).join(told, "doc_id")
