@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
 from assetlake.functions.text import plain_text, words_of
 from assetlake.runtime import bounded_broadcast, cut
 
@@ -78,6 +79,9 @@ def leaked_items(items: DataFrame, documents: DataFrame, item_id: str = "item_id
 
 def _covered(places: Column) -> Column:
     """Words covered by the shingles at these places: each adds what the one before it doesn't cover."""
-    ordered = F.sort_array(places)
+    return let(F.sort_array(places), _span)
+
+
+def _span(ordered: Column) -> Column:
     gaps = F.transform(ordered, lambda x, i: F.when(i == 0, F.lit(SHINGLE)).otherwise(F.least(F.lit(SHINGLE), x - F.get(ordered, i - 1))))
     return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
