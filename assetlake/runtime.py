@@ -5,16 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 #: A side of at most so many rows of a few dozen bytes (about 20 MB) may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for an application, so that their Python can import it from anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="assetlake-"), "assetlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: spark.checkpoint.dir, else the context's checkpoint folder.
 
@@ -114,4 +131,4 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "skew_lookup"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "ship", "skew_lookup"]
