@@ -35,15 +35,15 @@ NAMES = {
 
 #: Bounds of the training sample: documents of each language, characters of each that are read, sentences of each language.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 200, 20_000, 500
-#: Features are hashed n-grams of one to four characters.
-BITS, ORDERS = 16, (1, 2, 3, 4)
+#: Features are hashed n-grams of two and three characters.
+BITS, ORDERS = 15, (2, 3)
 #: Characters that are classified at once.
 CHUNK = 400_000
 #: A sentence needs so many letters to count as one, and so sure a call to stand against the rest of its text.
 LETTERS, SURE = 12, 0.55
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»“”’)\]]*\s+|\n+")
-_NOT_WORDS = re.compile(r"<[^<>\n]*>|\S*[\d/_@\\]\S*|&[a-z]+;", re.I)
+_NOT_WORDS = re.compile(r"<[^<>\n]*>|(?<!\S)\S*[\d/_@\\]\S*|&[a-z]+;")
 _NOT_LETTERS = re.compile(r"[^\w\n']+")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -74,24 +74,22 @@ def _clean(texts: list[str]) -> str:
     return _NOT_LETTERS.sub(" ", _NOT_WORDS.sub(" ", joined))
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, text number) of all n-grams, and the letters of each text."""
+def _ngrams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(feature, text number) of the n-grams of each order, in the order of the texts, and the letters of each text."""
     c = np.frombuffer((" " + _clean(texts).replace("\n", " \n ") + " ").encode("utf-32-le"), np.uint32)
     stop = c == 10
     text = np.cumsum(stop)
     letters = np.bincount(text[(c != 10) & (c != 32)], minlength=len(texts))[: len(texts)]
-    feats, owners = [], []
+    out = []
     h = np.zeros(len(c), np.uint32)
-    for n in ORDERS:
+    for n in range(1, max(ORDERS) + 1):
         h = h[: len(c) - n + 1] * np.uint32(31) + c[n - 1 :] * _MIX[n - 1]
+        if n not in ORDERS:
+            continue
         same = ~stop[n - 1 :] & (text[: len(c) - n + 1] == text[n - 1 :]) & ~stop[: len(c) - n + 1]
-        # Blanks alone say nothing.
-        if n == 1:
-            same &= c != 32
         mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        feats.append((mixed[same] >> np.uint32(32 - BITS)).astype(np.int32))
-        owners.append(text[: len(c) - n + 1][same].astype(np.int32))
-    return np.concatenate(feats), np.concatenate(owners), letters
+        out.append(((mixed[same] >> np.uint32(32 - BITS)).astype(np.int32), text[: len(c) - n + 1][same].astype(np.int32)))
+    return out, letters
 
 
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0, epochs: int = 12) -> np.ndarray:
@@ -132,11 +130,18 @@ class Model:
         return (np.concatenate(langs), np.concatenate(sure)) if langs else (np.zeros(0, int), np.zeros(0))
 
     def _classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        f, owner, letters = _ngrams(texts)
+        grams, letters = _ngrams(texts)
         n = len(texts)
+        by_feature = np.ascontiguousarray(self.weights.T)
+        sums, count = np.zeros((n, len(self.pairs))), np.zeros(n)
+        for f, owner in grams:
+            if len(f):
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                sums[owner[first]] += np.add.reduceat(by_feature[f], first, axis=0)
+                count += np.bincount(owner, minlength=n)
         # Sums of squared counts would need the counts of each feature; the root of the number of n-grams does as well.
-        size = np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))
-        margin = {p: np.bincount(owner, weights=w[f], minlength=n) / size for p, w in zip(self.pairs, self.weights)}
+        sums /= np.sqrt(np.maximum(1, count))[:, None]
+        margin = {p: sums[:, k] for k, p in enumerate(self.pairs)}
         names = list(FAMILIES)
         family = np.stack([margin[(x, "rest")] for x in names])
         best = family.argmax(axis=0)
@@ -177,7 +182,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def _fit(texts: list[str], y: np.ndarray) -> Model:
-    f, owner, _ = _ngrams(texts)
+    grams, _ = _ngrams(texts)
+    f, owner = (np.concatenate(x) for x in zip(*grams))
     order = np.argsort(owner, kind="stable")
     f, ends = f[order], np.cumsum(np.bincount(owner, minlength=len(texts)))
     rows = []
