@@ -17,14 +17,15 @@ def name_date(text: Column, confidence: float, patterns: tuple[str, ...] = DATE_
 
     A pattern that puts the day before month and year is half as sure if both could be a month.
     """
-    tried = []
-    for p in patterns:
-        at = {m: k for k, m in enumerate(re.findall(r"\(\?P<(\w)>", p), 1)}
-        java = re.sub(r"\(\?P<\w>", "(", p)
-        order = [m for m in at if m in "Ymd"]
-        parts = F.array(*(F.regexp_extract(text, java, at[m]).try_cast("int") if m in at else F.lit(0) for m in "YmdHMS"))
-        tried.append(_bound(parts, confidence, order[0]))
-    return F.coalesce(*tried)
+    return let(text, lambda t: F.when(t.rlike(r"\d{4}"), F.coalesce(*(_tried(t, confidence, p) for p in patterns))))
+
+
+def _tried(text: Column, confidence: float, pattern: str) -> Column:
+    at = {m: k for k, m in enumerate(re.findall(r"\(\?P<(\w)>", pattern), 1)}
+    java = re.sub(r"\(\?P<\w>", "(", pattern)
+    order = [m for m in at if m in "Ymd"]
+    parts = F.array(*(F.regexp_extract(text, java, at[m]).try_cast("int") if m in at else F.lit(0) for m in "YmdHMS"))
+    return F.when(text.rlike(java), _bound(parts, confidence, order[0]))
 
 
 def _bound(parts: Column, confidence: float, first: str) -> Column:
