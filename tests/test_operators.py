@@ -113,6 +113,21 @@ def test_collisions_of_nothing_and_of_large_families(spark, monkeypatch):
     assert got[0] is None and len(set(got[1:])) == 3 and all(g.startswith("/a-") for g in got[1:])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_collisions_of_large_families_like_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(destinations, "FAMILY_ROWS", 1)
+    rnd = random.Random(seed)
+    names = ["/l/a.jpg", *(f"/l/a-{k}.jpg" for k in range(1, 12)), "/l/a-1-1.jpg", "/l/a-1-2.jpg", "/l/a-2-1-1.jpg", "/l/a-01.jpg", "/l/c", "/l/c-1", "/l/.h", "/l/.h-1", "/l/d-7.x", "/m/a.jpg"]
+    weights = [9, *[rnd.choice([0, 1, 1, 3]) for _ in names[1:]]]
+    paths = rnd.choices(names, weights, k=70) + ["/q/p-%d.jpg" % k for k in range(5)]
+    taken = rnd.sample(names, 5)
+    f = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k bigint, path string")
+    got = destinations.without_collisions(f, "path", "k", spark.createDataFrame([(t,) for t in taken], "path string"))
+    assert [r.final_path for r in got.orderBy("k").collect()] == _brute_names(paths, taken)
+    some = destinations.without_collisions(f.where("path like '/q/%' or path like '/l/a%'"), "path", "k")
+    assert [r.final_path for r in some.orderBy("k").collect()] == _brute_names([p for p in paths if p[:3] == "/q/" or p[:4] == "/l/a"], ())
+
+
 def test_similar_codes_against_all_pairs(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(20)]
