@@ -134,10 +134,16 @@ def _split(t: list[str], w: list[float], c: list[str], u: list[str], wu: list[fl
     return tuple([y for part in out for y in part[i]] for i in range(3))
 
 
+def _spoken(t: list[str]) -> list[str]:
+    return sorted(x for x in t if x not in SILENT) or sorted(t)
+
+
 def same_name(ta: list[str], tb: list[str], wa: list[float], wb: list[float], ca: list[str], cb: list[str]) -> float:
     """Soft weighted similarity of two names, 0 if they contradict. t: tokens, w: their weights, c: the common
     spelling of each."""
     ta, wa, ca, tb, wb, cb = *_split(ta, wa, ca, tb, wb, cb), *_split(tb, wb, cb, ta, wa, ca)
+    if _spoken(ta) == _spoken(tb):
+        return 1.0
     pairs = []
     for i, x in enumerate(ta):
         for j, y in enumerate(tb):

@@ -27,6 +27,13 @@ def test_variants_and_relatives(spark):
     assert all(a < b for a, b in found)
 
 
+def test_names_of_listed_words_only(spark):
+    same = [("George Michael", "george michael"), ("George Michael", "Michael, George"), ("Jack Johnny", "JACK  JOHNNY"), ("Chamber Orchestra", "Ch. Orch."), ("The Band", "Band, The"), ("The Band", "band"), ("The The", "the the")]
+    other = [("George Michael", "George James"), ("The Band", "The Who"), ("Jack Johnny", "Jack")]
+    found = pairs(spark, [n for p in same + other for n in p])
+    assert [p for p in same if tuple(sorted(p)) not in found] == [] and [p for p in other if tuple(sorted(p)) in found] == []
+
+
 def test_fields_are_apart(spark):
     d = spark.createDataFrame([("a", "Alex Fokirefura"), ("b", "Alexander Fokirefura")], "field string, name string")
     assert names.variant_pairs(d).count() == 0 and names.variant_pairs(d.limit(0)).count() == 0
