@@ -184,7 +184,7 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     """(field, a, b, d): tokens of a field (field, token) within EDITS edits of each other, a < b; a swap counts two.
 
     Each edit spoils at most Q of a token's q-grams, so that two such tokens share one of the Q * EDITS + 1 rarest
-    of either: only these are joined. Tokens of fewer than five characters have no similar ones.
+    of either: only these are joined. Tokens of fewer than five characters are left to short_slips().
     """
     long = tokens.where(F.length("token") >= 5)
     padded = F.concat(F.lit("#" * (Q - 1)), F.col("token"), F.lit("$" * (Q - 1)))
@@ -199,6 +199,29 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return pairs.select("field", F.col("token").alias("a"), "b", "d").distinct()
 
 
+def short_slips(tokens: DataFrame) -> DataFrame:
+    """(field, a, b): tokens of a field, a < b, of four characters, or four and five, that become equal when at most one
+    character of each is left out: all that are one typing slip apart, and a few more."""
+    words = tokens.where(F.length("token").between(4, 5) & ~F.col("token").rlike(r"^\d+$")).select("field", "token")
+    without = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, F.length("token"))))
+    keys = words.select("field", "token", F.explode(F.array_distinct(F.concat(F.array("token"), without))).alias("key"))
+    other = keys.select("field", F.col("token").alias("b"), "key")
+    near = (F.col("token") < F.col("b")) & (F.least(F.length("token"), F.length("b")) == 4)
+    return keys.join(other, ["field", "key"]).where(near).select("field", F.col("token").alias("a"), "b").distinct()
+
+
+def joined_pairs(spelled: DataFrame, heavy: DataFrame, known: DataFrame, top: DataFrame) -> DataFrame:
+    """(field, na, nb) of names with a token that the other has as two neighbours, if it or one of them weighs enough to
+    belong to the prefix of the name that has it."""
+    two = F.transform(F.sequence(F.lit(0), F.size("tokens") - 2), lambda i: F.struct(F.get("tokens", i).alias("x"), F.get("tokens", i + 1).alias("y")))
+    split = spelled.where("size(tokens) >= 2").select("field", F.col("name").alias("nb"), F.explode(F.array_distinct(two)).alias("p")).select("field", "nb", "p.x", "p.y", F.concat("p.x", "p.y").alias("token"))
+    split = split.join(heavy.select("field", "token"), ["field", "token"], "left_semi")
+    weight = lambda t: heavy.select("field", F.col("token").alias(t), F.col("common_weight").alias(f"w{t}"))
+    split = split.join(weight("x"), ["field", "x"]).join(weight("y"), ["field", "y"])
+    whole = known.join(top, ["field", "name"]).select("field", F.col("name").alias("na"), "token", "weight", "top")
+    return split.join(whole, ["field", "token"]).where(F.greatest("weight", "wx", "wy") >= F.col("top") * PREFIX_SHARE).select("field", "na", "nb")
+
+
 def common_spellings(tokens: DataFrame, similar: DataFrame) -> DataFrame:
     """(field, token, common): the most frequent token that is one typing slip away, if it is more frequent."""
     swap = (F.col("d") == 2) & (F.length("a") == F.length("b")) & (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
@@ -227,18 +250,21 @@ def variant_pairs(names: DataFrame) -> DataFrame:
     similar = cut(similar_tokens(tokens), "similar")
     common = cut(common_spellings(tokens, similar).join(tokens.select("field", "token", "weight"), ["field", "token"]), "common")
     # The weight of a misspelt token is that of its common spelling, or slips would count more than names.
-    heavy = common.join(tokens.select("field", F.col("token").alias("common"), F.col("weight").alias("common_weight")), ["field", "common"])
+    heavy = cut(common.join(tokens.select("field", F.col("token").alias("common"), F.col("weight").alias("common_weight")), ["field", "common"]), "heavy")
     known = exploded.join(heavy, ["field", "token"]).select("field", "name", "token", "common", F.col("common_weight").alias("weight"))
     known = cut(known, "known")
-    top = known.where(F.length("token") >= 3).groupBy("field", "name").agg(F.max("weight").alias("top"))
-    prefix = cut(known.join(top, ["field", "name"]).where((F.length("token") >= 3) & (F.col("weight") >= F.col("top") * PREFIX_SHARE)).select("field", "name", "token", "common"), "prefix")
+    # Silent tokens aren't asked for, so that they don't keep others out of the prefix.
+    top = known.groupBy("field", "name").agg(F.coalesce(F.max(F.when(~F.col("token").isin(sorted(SILENT)), F.col("weight"))), F.max("weight")).alias("top"))
+    prefix = cut(known.join(top, ["field", "name"]).where(F.col("weight") >= F.col("top") * PREFIX_SHARE).select("field", "name", "token", "common"), "prefix")
     by_common = prefix.select("field", "name", "common").distinct()
     other = by_common.select("field", F.col("name").alias("name_b"), "common")
     pairs = by_common.join(other, ["field", "common"]).select("field", F.col("name").alias("name_a"), "name_b").where("name_a < name_b")
     # Similar tokens without a common spelling between them.
     canon = common.select("field", "token", "common")
     loose = similar.join(canon.select("field", F.col("token").alias("a"), F.col("common").alias("x")), ["field", "a"]).join(canon.select("field", F.col("token").alias("b"), F.col("common").alias("y")), ["field", "b"]).where("x <> y").select("field", "a", "b")
+    loose = loose.unionByName(short_slips(tokens))
     linked = loose.join(prefix.select("field", F.col("name").alias("na"), F.col("token").alias("a")), ["field", "a"]).join(prefix.select("field", F.col("name").alias("nb"), F.col("token").alias("b")), ["field", "b"])
+    linked = linked.select("field", "na", "nb").unionByName(joined_pairs(spelled, heavy, known, top))
     pairs = pairs.unionByName(linked.where("na <> nb").select("field", F.least("na", "nb").alias("name_a"), F.greatest("na", "nb").alias("name_b"))).distinct()
     # The tokens in order, with their weights and common spellings.
     info = known.groupBy("field", "name").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("weight", "common")))).alias("m"))

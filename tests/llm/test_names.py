@@ -34,6 +34,13 @@ def test_names_of_listed_words_only(spark):
     assert [p for p in same if tuple(sorted(p)) not in found] == [] and [p for p in other if tuple(sorted(p)) in found] == []
 
 
+def test_short_and_joined_tokens(spark):
+    same = [("U2", "u2"), ("LG", "L.G."), ("L.G.", "lg"), ("HP", "H P"), ("AC/DC", "ac dc"), ("東京", "東京 "), ("Sony", "Snoy"), ("Leica", "Leca"), ("Bluebird", "Blue Bird"), ("Vopi", "Vopa")]
+    other = [("U2", "U3"), ("LG", "HP"), ("Sony", "Sino"), ("AC/DC", "ac db"), ("Bluebird", "Blue Birch")]
+    found = pairs(spark, [n for p in same + other for n in p])
+    assert [p for p in same if tuple(sorted(p)) not in found] == [] and [p for p in other if tuple(sorted(p)) in found] == []
+
+
 def test_fields_are_apart(spark):
     d = spark.createDataFrame([("a", "Alex Fokirefura"), ("b", "Alexander Fokirefura")], "field string, name string")
     assert names.variant_pairs(d).count() == 0 and names.variant_pairs(d.limit(0)).count() == 0
