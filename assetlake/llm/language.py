@@ -39,7 +39,8 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 200, 20_000, 500
 BITS, ORDERS = 15, (2, 3)
 #: Characters that are classified at once.
 CHUNK = 400_000
-#: A sentence needs so many letters to count as one, and so sure a call to stand against the rest of its text.
+#: A sentence needs so many letters to train on; a text without one as long is classified whole. A sentence needs so sure
+#: a call to stand alone against the rest of its text.
 LETTERS, SURE = 12, 0.55
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»“”’)\]]*\s+|\n+")
@@ -115,21 +116,24 @@ class Model:
     pairs: list[tuple[str, str]]
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Language number in LANGUAGES (-1: too few letters) and confidence of each text."""
-        langs, sure = [], []
+        """Language number in LANGUAGES (-1: no letters) and confidence of each text."""
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language number in LANGUAGES (-1: no letters), confidence and letters of each text."""
+        langs, sure, letters = [], [], []
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) < CHUNK):
                 size += len(texts[end]) + 1
                 end += 1
-            a, b = self._classify(texts[at:end])
-            langs.append(a)
-            sure.append(b)
+            for found, x in zip((langs, sure, letters), self._classify(texts[at:end])):
+                found.append(x)
             at = end
-        return (np.concatenate(langs), np.concatenate(sure)) if langs else (np.zeros(0, int), np.zeros(0))
+        return (np.concatenate(langs), np.concatenate(sure), np.concatenate(letters)) if langs else (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
 
-    def _classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams, letters = _ngrams(texts)
         n = len(texts)
         by_feature = np.ascontiguousarray(self.weights.T)
@@ -164,16 +168,16 @@ class Model:
             least = np.minimum(np.take_along_axis(worst, won[None], 0)[0], family[k] - second)
             lang[mine] = np.array([LANGUAGES.index(m) for m in members])[won[mine]]
             sure[mine] = 1 / (1 + np.exp(-3 * least[mine]))
-        lang[letters < LETTERS] = -1
-        return lang, sure
+        lang[letters < 1] = -1
+        return lang, sure, letters
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
     """Fits the machines to labelled sentences, then again without those that the first fit contradicts."""
     y = np.array([LANGUAGES.index(x) for x in labels])
     model = _fit(texts, y)
-    lang, _ = model.classify(texts)
-    keep = lang == y
+    lang, _, letters = model.measured(texts)
+    keep = (lang == y) & (letters >= LETTERS)
     # A language whose sentences were all contradicted keeps them.
     for k in range(len(LANGUAGES)):
         if not keep[y == k].any():
@@ -223,8 +227,9 @@ def training_sample(documents: DataFrame, text: str = "text", label: str = "lang
 
 def segments(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, segment from 0, start, length, lang, sentences, confidence): runs of sentences of one language, in
-    characters of the text. Sentences with too few letters, or whose language is unsure and occurs but once, go with
-    the language that most of the text has. Null and empty texts, and those without letters, have no segments."""
+    characters of the text. Sentences without letters, or whose language is unsure and occurs but once, go with the
+    language that most of the text has; in texts whose sentences are all of fewer than LETTERS letters the unsure ones
+    go with the language of the whole. Null and empty texts, and those without letters, have no segments."""
     weights, pairs = model.weights, model.pairs
 
     def run(batches):
@@ -236,7 +241,8 @@ def segments(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: s
                     texts.append(t[a:b])
                     spans.append((a, b))
                     owners.append(k)
-            lang, sure = m.classify(texts)
+            lang, sure, letters = m.measured(texts)
+            _by_whole(m, pdf["text"], owners, lang, sure, letters)
             yield pd.DataFrame(_runs(pdf["doc_id"].tolist(), owners, spans, lang, sure), columns=["doc_id", "segment", "start", "length", "lang", "sentences", "confidence"])
 
     kind = dict(documents.dtypes)[doc_id]
@@ -244,6 +250,17 @@ def segments(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: s
     return d.mapInPandas(run, f"doc_id {kind}, segment int, start int, length int, lang string, sentences int, confidence double")
 
 
+def _by_whole(m: Model, texts, owners, lang: np.ndarray, sure: np.ndarray, letters: np.ndarray) -> None:
+    """Gives unsure sentences of texts without a long one the language and confidence of the whole text."""
+    owner = np.array(owners, int)
+    whole = np.setdiff1d(owner[lang >= 0], owner[letters >= LETTERS])
+    if len(whole):
+        found, how = m.classify([texts.iloc[k] for k in whole])
+        at = np.minimum(np.searchsorted(whole, owner), len(whole) - 1)
+        mine = (whole[at] == owner) & (lang >= 0) & (sure < SURE) & (found[at] >= 0)
+        lang[mine], sure[mine] = found[at][mine], how[at][mine]
+
+
 def _runs(ids, owners, spans, lang, sure):
     out, at = [], 0
     while at < len(owners):

@@ -59,6 +59,19 @@ def test_mixed_texts(spark, model):
     assert language.segments(d.limit(0), model).count() == 0
 
 
+def test_short_texts(spark, model):
+    """Every text with letters has a language, and short sentences count."""
+    en, de = SENTENCES["en"], SENTENCES["de"]
+    docs = [(1, "Danke schön."), (2, "Bonjour !"), (3, "Доброе утро"), (4, " ".join(en) + " Привет всем. Спасибо."), (5, "A"), (6, "12"), (7, "Всё. Да. Нет."), (8, " ".join(de) + " Спасибо.")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    langs = {}
+    for r in language.text_languages(language.segments(d, model)).collect():
+        langs.setdefault(r.doc_id, set()).add(r.lang)
+        assert 0 < r.confidence <= 1
+    assert set(langs) == {1, 2, 3, 4, 5, 7, 8}
+    assert langs[3] == langs[7] == {"ru"} and langs[4] == {"en", "ru"} and langs[8] == {"de"}
+
+
 def test_sentences():
     text = 'One (IMG_5.JPG) here. «Two is here.» Three!\n\nFour "is". 5'
     assert [text[a:b] for a, b in language.sentences(text)] == ["One (IMG_5.JPG) here.", "«Two is here.", "Three!", 'Four "is".', "5"]
