@@ -4,7 +4,8 @@ A MinHash containment search: each text stands for the hashes of its shingles of
 those below a threshold, the same for both sides, so that the share of an item's sketch found in a document estimates
 the share of the item that it contains, however long the document is. Items are partitioned by their size: from the
 size follows the least number of shingles that a leak shares, and from that the threshold at which the sketch misses
-a leak with a probability of at most MISS. Short items keep all their hashes, so that none of theirs is missed.
+a leak with a probability of at most MISS. Short items keep all their hashes, so that none of theirs is missed, and so
+do items that repeat a shingle, as few different ones may cover a third of them.
 Candidates are verified by exact containment of their shingles.
 """
 
@@ -44,8 +45,10 @@ def item_sketches(items: DataFrame, item_id: str, text: str) -> DataFrame:
     # n words in runs of five or more shares at least a fifteenth of n in shingles.
     least = F.greatest(F.lit(1.0), F.ceil(F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))) * COVERED / SHINGLE).cast("double"))
     keep = F.when(least <= 32, F.lit(1.0)).otherwise(1 - F.pow(F.lit(MISS), 1 / least))
-    w = w.select("item_id", "w", n.alias("n"), keep.alias("keep"))
-    s = w.select("item_id", "n", "keep", F.posexplode(shingle_hashes(F.col("w"))).alias("at", "h"))
+    w = w.select("item_id", shingle_hashes(F.col("w")).alias("hs"), n.alias("n"), keep.alias("keep"))
+    repeats = F.size(F.array_distinct("hs")) < F.size("hs")
+    w = w.select("item_id", "n", F.when(repeats, F.lit(1.0)).otherwise(F.col("keep")).alias("keep"), "hs")
+    s = w.select("item_id", "n", "keep", F.posexplode("hs").alias("at", "h"))
     return s.select("item_id", "n", "keep", "at", "h", (_rank(F.col("h")) < F.col("keep")).alias("kept"))
 
 

@@ -46,6 +46,19 @@ def test_leaks_like_brute_force(spark, length):
     assert found(spark, items, docs) == brute(items, docs)
 
 
+def test_items_of_repeated_lines(spark):
+    """A line of five words that returns all over a long item is one different shingle, which no sketch may drop."""
+    rnd = random.Random(3)
+    items, docs = [], []
+    for k in range(30):
+        line = [f"r{k}x{j}" for j in range(5)]
+        verse = lambda: [rnd.choice(WORDS) for _ in range(5)]
+        items.append((k, " ".join(" ".join(line + verse()) for _ in range(100))))
+        docs.append((k, " ".join(verse() + line + verse())))
+    want = brute(items, docs)
+    assert want == {(k, k) for k in range(30)} and found(spark, items, docs) == want
+
+
 def test_writing_makes_no_difference(spark):
     item = "The quick brown fox jumps over the lazy dog today"
     docs = [
