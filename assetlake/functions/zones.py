@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 HOUR = 3600
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, LAST_YEAR = 1900, 2128
+#: The last years of the table have each weekday of January 1, with and without a leap day: later years go by them.
+CYCLE = 28
 
 
 @lru_cache(maxsize=2)
@@ -23,7 +25,7 @@ def intervals(names: tuple[str, ...] | None = None) -> list[tuple[str, int, list
     """(zone key, year, [(local_from_s, local_to_s, offset_s)]) of all zones, or of those named.
 
     Local seconds count from 1970 on the wall clock. An interval is listed in each year it touches, with two days
-    to either side; zone keys are lower case. The result is bounded by the tz database: about 600 zones by 200 years.
+    to either side, the first year has all before it too; zone keys are lower case. The result is bounded by the tz database: about 600 zones by 200 years.
     """
     out = []
     for name in sorted(names if names is not None else available_timezones()):
@@ -84,7 +86,7 @@ def _by_year(changes: list[tuple[int, int]]):
         k = first
         while k < len(spans) and spans[k][0] < hi:
             k += 1
-        yield year, spans[first:k]
+        yield year, spans[0 if year == FIRST_YEAR else first : k]
 
 
 def interval_table(spark: SparkSession) -> DataFrame:

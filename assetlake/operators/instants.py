@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions.ids import norm_id
-from assetlake.functions.zones import interval_table
+from assetlake.functions.zones import CYCLE, FIRST_YEAR, LAST_YEAR, interval_table
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
@@ -43,6 +43,17 @@ def offset_seconds(zone: Column) -> Column:
     return F.when(z.isin("z", "utc", "gmt"), F.lit(0)).when(z.rlike(shape) & (size <= 18 * 3600) & (m < 60) & (s < 60), signed)
 
 
+def _table_second(s: Column) -> Column:
+    """The wall second s, or for years after LAST_YEAR that of the year of the table with the same calendar: rules for
+    daylight saving go by weekdays, so that it has the same offsets."""
+    year = F.year(F.timestamp_seconds(s))
+    first = lambda y: F.datediff(F.make_date(y, F.lit(1), F.lit(1)), F.lit("1970-01-01").cast("date"))
+    days = lambda y: first(y + 1) - first(y)
+    years = F.sequence(F.lit(LAST_YEAR - CYCLE + 1), F.lit(LAST_YEAR))
+    same = F.get(F.filter(years, lambda y: ((first(year) - first(y)) % 7 == 0) & (days(y) == days(year))), 0)
+    return F.when(year > LAST_YEAR, s - (first(year) - first(same)).cast("bigint") * 86_400).otherwise(s)
+
+
 def parse_wall(df: DataFrame, text: str) -> DataFrame:
     """df with _us, _zone, _utc: wall-clock microseconds, the zone in the text (null if none), whether _us is UTC already.
 
@@ -88,9 +99,10 @@ def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> Dat
     parsed = parse_wall(df, text)
     parsed = parsed.withColumn("_z", F.coalesce("_zone", F.lower(F.trim(zone)))).withColumn("_off", offset_seconds(F.col("_z")))
     parsed = parsed.withColumn("_s", F.floor(F.col("_us") / F.lit(1_000_000.0)).cast("bigint"))
-    parsed = parsed.withColumn("_named", F.when(F.col("_off").isNull() & ~F.col("_utc"), F.col("_z"))).withColumn(
-        "_year", F.when(F.col("_named").isNotNull(), F.year(F.timestamp_seconds("_s")))
-    )
+    parsed = parsed.withColumn("_named", F.when(F.col("_off").isNull() & ~F.col("_utc"), F.col("_z")))
+    parsed = parsed.withColumn("_s", F.when(F.col("_named").isNotNull(), _table_second(F.col("_s"))))
+    parsed = parsed.withColumn("_year", F.greatest(F.year(F.timestamp_seconds("_s")), F.lit(FIRST_YEAR)))
+    parsed = parsed.withColumn("_year", F.when(F.col("_s").isNotNull(), F.col("_year")))
     spans = F.broadcast(interval_table(df.sparkSession).toDF("_zone_key", "_zone_year", "_spans"))
     joined = parsed.join(spans, (F.col("_named") == F.col("_zone_key")) & (F.col("_year") == F.col("_zone_year")), "left")
     s = F.col("_s")

@@ -116,3 +116,16 @@ def test_current_rows_count(spark):
     e = spark.createDataFrame([("A", "2020-01-01T00:00:00Z", None)] * 2 + [(None, "2020-01-01T00:00:00Z", None)], "file_id string, date_original string, timezone_offset string")
     assert sorted((x.file_id, x.origin, x.utc_us) for x in instants.recorded_instants(r, e).collect()) == [("a", "exif", 1577836800000000), ("a", "record", 1609459200000000)]
     assert instants.recorded_instants(r.limit(0), e.limit(0)).count() == 0
+
+
+def test_instants_of_years_outside_the_zone_table(spark):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    from assetlake.operators import instants
+
+    rows = [(f"{y}-{m:02}-15 12:30:00", z) for y in (1850, 1884, 1899, 1900, 2100, 2101, 2128, 2129, 2200, 2400, 9998) for m in (1, 3, 7, 11) for z in ("America/New_York", "Europe/Paris", "Australia/Sydney", "Asia/Tokyo", "Africa/Casablanca")]
+    got = instants.to_instants(spark.createDataFrame(rows, "t string, z string"), "t", "z").collect()
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    want = {r: (dt.datetime.fromisoformat(r[0]).replace(tzinfo=ZoneInfo(r[1])) - epoch) // dt.timedelta(microseconds=1) for r in rows}
+    assert {(r.t, r.z): r.utc_us for r in got} == want
