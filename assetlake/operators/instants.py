@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assetlake.functions.ids import norm_id
 from assetlake.functions.zones import CYCLE, FIRST_YEAR, LAST_YEAR, interval_table
 
+DAY = 24 * 3600
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 # Shapes of a date at the start of a text, and how each is written with the year first.
@@ -43,50 +44,56 @@ def offset_seconds(zone: Column) -> Column:
     return F.when(z.isin("z", "utc", "gmt"), F.lit(0)).when(z.rlike(shape) & (size <= 18 * 3600) & (m < 60) & (s < 60), signed)
 
 
-def _table_second(s: Column) -> Column:
-    """The wall second s, or for years after LAST_YEAR that of the year of the table with the same calendar: rules for
-    daylight saving go by weekdays, so that it has the same offsets."""
-    year = F.year(F.timestamp_seconds(s))
-    first = lambda y: F.datediff(F.make_date(y, F.lit(1), F.lit(1)), F.lit("1970-01-01").cast("date"))
+def _div(c: Column, n: int) -> Column:
+    """c divided by n, rounded down, in whole numbers."""
+    return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n)).cast("bigint")
+
+
+def _year(second: Column) -> Column:
+    """The year of a wall second; days are counted without regard to the session's time zone."""
+    return F.year(F.date_from_unix_date(_div(second, DAY).cast("int")))
+
+
+def _table_second(s: Column, year: Column) -> Column:
+    """The wall second s of a year, or for years after LAST_YEAR that of the year of the table with the same calendar:
+    rules for daylight saving go by weekdays, so that it has the same offsets."""
+    first = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1)))
     days = lambda y: first(y + 1) - first(y)
     years = F.sequence(F.lit(LAST_YEAR - CYCLE + 1), F.lit(LAST_YEAR))
     same = F.get(F.filter(years, lambda y: ((first(year) - first(y)) % 7 == 0) & (days(y) == days(year))), 0)
-    return F.when(year > LAST_YEAR, s - (first(year) - first(same)).cast("bigint") * 86_400).otherwise(s)
+    return F.when(year > LAST_YEAR, s - (first(year) - first(same)).cast("bigint") * DAY).otherwise(s)
 
 
 def parse_wall(df: DataFrame, text: str) -> DataFrame:
-    """df with _us, _zone, _utc: wall-clock microseconds, the zone in the text (null if none), whether _us is UTC already.
+    """(row, us, said, utc): the row of df as it is, wall-clock microseconds, the zone in the text (null if none), and
+    whether us is UTC already.
 
-    _us is null for values without a time of day, not on the calendar or clock, or of no known shape. Dots mean day
+    us is null for values without a time of day, not on the calendar or clock, or of no known shape. Dots mean day
     first, slashes month first unless the year leads. A bare number of up to 10 digits is seconds, of 11 to 13
-    milliseconds, since 1970 in UTC; 8 digits are a date without time. Fractions keep six digits.
+    milliseconds, since 1970 in UTC; 8 digits are a date without time. Fractions keep six digits. The row is kept as one
+    column, so that no name of it can clash with another.
     """
     t = F.lower(F.regexp_replace(F.regexp_replace(text, r"[\s\x00]+", " "), r"^ | $", ""))
     for shape, ordered in _DATES.items():
         t = F.regexp_replace(t, shape, ordered)
-    parts = F.split(F.regexp_replace("_t", _SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
+    parts = F.split(F.regexp_replace("t", _SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
     # Each step is a projection of its own, so that each expression is evaluated once.
-    p = lambda k: F.get("_p", k)
+    p = lambda k: F.get("p", k)
     month = F.coalesce(_int(p(1)), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), p(1)), F.lit(0)).cast("int"))
     h = _int(p(3))
     hour = F.when(p(7) == "", h).when(h.between(1, 12), h % 12 + F.when(p(7) == "p", 12).otherwise(0))
-    wall = F.try_make_timestamp_ntz(
-        F.col("_n.y"), F.col("_n.mo"), F.col("_n.d"), F.col("_n.h"), F.col("_n.mi"), F.col("_n.s").cast("decimal(8,6)")
-    )
-    number = F.when(F.col("_t").rlike(r"^-?\d{1,10}$") & ~F.col("_t").rlike(r"^\d{8}$"), F.col("_t").try_cast("bigint") * 1_000_000).when(
-        F.col("_t").rlike(r"^-?\d{11,13}$"), F.col("_t").try_cast("bigint") * 1000
+    number = F.when(F.col("t").rlike(r"^-?\d{1,10}$") & ~F.col("t").rlike(r"^\d{8}$"), F.col("t").try_cast("bigint") * 1_000_000).when(
+        F.col("t").rlike(r"^-?\d{11,13}$"), F.col("t").try_cast("bigint") * 1000
     )
-    on_clock = F.col("_n.h").between(0, 23) & F.col("_n.mi").between(0, 59) & F.col("_n.s").between(0, 59)
-    out = df.withColumn("_t", t).withColumn("_p", parts).withColumn("_number", number)
-    out = out.withColumn("_n", F.when(F.size("_p") == 9, F.struct(
+    n = F.when(F.size("p") == 9, F.struct(
         _int(p(0)).alias("y"), month.alias("mo"), _int(p(2)).alias("d"), hour.alias("h"), _int(p(4)).alias("mi"),
-        F.coalesce(_int(p(5)), F.lit(0)).alias("s"), F.coalesce(F.substring(F.rpad(p(6), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0)).alias("us"))))
-    out = out.withColumn("_wall", F.when(on_clock, F.unix_micros(wall.cast("timestamp"))))
-    return out.withColumns({
-        "_us": F.coalesce("_number", F.col("_wall") + F.col("_n.us")),
-        "_zone": F.when(F.size("_p") == 9, F.nullif(p(8), F.lit(""))),
-        "_utc": F.col("_number").isNotNull(),
-    }).drop("_t", "_p", "_n", "_number", "_wall")
+        F.coalesce(_int(p(5)), F.lit(0)).alias("s"), F.coalesce(F.substring(F.rpad(p(6), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0)).alias("us"), F.nullif(p(8), F.lit("")).alias("said")))
+    # A date without a time zone: no session setting has a part in it.
+    day = F.unix_date(F.try_make_timestamp_ntz(F.col("n.y"), F.col("n.mo"), F.col("n.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")).cast("bigint")
+    on_clock = F.col("n.h").between(0, 23) & F.col("n.mi").between(0, 59) & F.col("n.s").between(0, 59)
+    wall = F.when(on_clock, (day * DAY + F.col("n.h") * 3600 + F.col("n.mi") * 60 + F.col("n.s")) * 1_000_000 + F.col("n.us"))
+    out = df.select(F.struct("*").alias("row"), t.alias("t")).select("row", "t", parts.alias("p"), number.alias("number"))
+    return out.select("row", "number", n.alias("n")).select("row", F.coalesce("number", wall).alias("us"), F.col("n.said").alias("said"), F.col("number").isNotNull().alias("utc"))
 
 
 def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> DataFrame:
@@ -94,27 +101,29 @@ def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> Dat
 
     A zone in the text goes before the column `zone`, which may hold an offset or a zone name in any case. A wall
     time that occurs twice means the earlier instant, a skipped one is read with the offset before the change. No
-    shuffle: the intervals are bounded by the tz database, so that they are broadcast.
+    shuffle: the intervals are bounded by the tz database, so that they are broadcast. df may have columns of any name;
+    one that is called as `out` is replaced.
     """
     parsed = parse_wall(df, text)
-    parsed = parsed.withColumn("_z", F.coalesce("_zone", F.lower(F.trim(zone)))).withColumn("_off", offset_seconds(F.col("_z")))
-    parsed = parsed.withColumn("_s", F.floor(F.col("_us") / F.lit(1_000_000.0)).cast("bigint"))
-    parsed = parsed.withColumn("_named", F.when(F.col("_off").isNull() & ~F.col("_utc"), F.col("_z")))
-    parsed = parsed.withColumn("_s", F.when(F.col("_named").isNotNull(), _table_second(F.col("_s"))))
-    parsed = parsed.withColumn("_year", F.greatest(F.year(F.timestamp_seconds("_s")), F.lit(FIRST_YEAR)))
-    parsed = parsed.withColumn("_year", F.when(F.col("_s").isNotNull(), F.col("_year")))
-    spans = F.broadcast(interval_table(df.sparkSession).toDF("_zone_key", "_zone_year", "_spans"))
-    joined = parsed.join(spans, (F.col("_named") == F.col("_zone_key")) & (F.col("_year") == F.col("_zone_year")), "left")
-    s = F.col("_s")
-    holding = F.filter("_spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
+    parsed = parsed.select("row", "us", "utc", F.coalesce("said", F.lower(F.trim(F.col("row")[zone]))).alias("z"))
+    parsed = parsed.select("*", offset_seconds(F.col("z")).alias("off"))
+    parsed = parsed.select("*", F.when(F.col("off").isNull() & ~F.col("utc"), F.col("z")).alias("named"))
+    parsed = parsed.select("*", F.when(F.col("named").isNotNull(), _div(F.col("us"), 1_000_000)).alias("wall"))
+    parsed = parsed.select("*", _year(F.col("wall")).alias("at"))
+    parsed = parsed.select("*", _table_second(F.col("wall"), F.col("at")).alias("s"))
+    parsed = parsed.select("*", F.when(F.col("s").isNotNull(), F.greatest(_year(F.col("s")), F.lit(FIRST_YEAR))).alias("year"))
+    spans = F.broadcast(interval_table(df.sparkSession).toDF("zone_key", "zone_year", "spans"))
+    joined = parsed.join(spans, (F.col("named") == F.col("zone_key")) & (F.col("year") == F.col("zone_year")), "left")
+    s = F.col("s")
+    holding = F.filter("spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
     # Two intervals: the larger offset is the earlier instant. None: the last interval that ended before.
-    ended = F.filter("_spans", lambda x: x["hi"] <= s)
+    ended = F.filter("spans", lambda x: x["hi"] <= s)
     named_off = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda x: x["off"]))).when(
         F.size(ended) > 0, F.array_max(F.transform(ended, lambda x: F.struct(x["hi"], x["off"])))["off"]
     )
-    off = F.coalesce(F.col("_off"), named_off)
-    us = F.when(F.col("_utc"), F.col("_us")).otherwise(F.col("_us") - off.cast("bigint") * 1_000_000)
-    return joined.withColumn(out, us).select(*[c for c in df.columns if c != out], out)
+    off = F.coalesce(F.col("off"), named_off)
+    us = F.when(F.col("utc"), F.col("us")).otherwise(F.col("us") - off.cast("bigint") * 1_000_000)
+    return joined.select(*(F.col("row")[c].alias(c) for c in df.columns if c != out), us.alias(out))
 
 
 def recorded_instants(file_records: DataFrame, exif: DataFrame) -> DataFrame:
@@ -127,9 +136,9 @@ def recorded_instants(file_records: DataFrame, exif: DataFrame) -> DataFrame:
         .agg(F.max_by("r", F.coalesce("pipeline_stage", F.lit(-1))).alias("r"))
     )
     records = current.where(F.coalesce(F.lower(F.trim("r.date_source")), F.lit("none")) != "none").select(
-        "file_id", F.lit("record").alias("origin"), F.col("r.date_value").alias("_text"), F.col("r.timezone_offset").alias("_zone")
+        "file_id", F.lit("record").alias("origin"), F.col("r.date_value").alias("text"), F.col("r.timezone_offset").alias("zone")
     )
-    shots = exif.select(norm_id("file_id").alias("file_id"), F.lit("exif").alias("origin"), F.col("date_original").alias("_text"), F.col("timezone_offset").alias("_zone")).where("file_id is not null")
-    shots = shots.where(F.col("_text").isNotNull()).distinct()
-    found = to_instants(records.unionByName(shots), "_text", "_zone").where("utc_us is not null")
+    shots = exif.select(norm_id("file_id").alias("file_id"), F.lit("exif").alias("origin"), F.col("date_original").alias("text"), F.col("timezone_offset").alias("zone")).where("file_id is not null")
+    shots = shots.where(F.col("text").isNotNull()).distinct()
+    found = to_instants(records.unionByName(shots), "text", "zone").where("utc_us is not null")
     return found.select("file_id", "origin", "utc_us").distinct()

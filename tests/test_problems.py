@@ -129,3 +129,29 @@ def test_instants_of_years_outside_the_zone_table(spark):
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
     want = {r: (dt.datetime.fromisoformat(r[0]).replace(tzinfo=ZoneInfo(r[1])) - epoch) // dt.timedelta(microseconds=1) for r in rows}
     assert {(r.t, r.z): r.utc_us for r in got} == want
+
+
+RECORDS = "id string, pipeline_stage int, date_value string, date_source string, timezone_offset string"
+
+
+def test_zones_beside_the_text(spark):
+    """The zone of a delivered column counts where the text has none, and names of helpers may be those of columns."""
+    r = spark.createDataFrame([("a", 1, "2024-03-15 12:00:00", "metadata", "+02:00"), ("b", 1, "2024-03-15 12:00:00", "parsed", "America/New_York"), ("c", 1, "2024-03-15T12:00:00-03", "parsed", "Asia/Tokyo"), ("d", 1, "2024-03-15 12:00:00", "parsed", "local")], RECORDS)
+    e = spark.createDataFrame([("a", "2024:03:15 12:00:00", "Asia/Kolkata"), ("b", "2024:03:15 12:00:00", None)], "file_id string, date_original string, timezone_offset string")
+    noon = 1710504000000000
+    want = {("a", "record"): noon - 2 * 3600 * 10**6, ("b", "record"): noon + 4 * 3600 * 10**6, ("c", "record"): noon + 3 * 3600 * 10**6, ("a", "exif"): noon - 19800 * 10**6}
+    assert {(x.file_id, x.origin): x.utc_us for x in instants.recorded_instants(r, e).collect()} == want
+    clash = spark.createDataFrame([("2024-03-15 12:00:00", "+01", 1, "x", None, 5)], "said string, z string, us int, row string, zone_key string, spans int")
+    got = instants.to_instants(clash, "said", "z", "off").first()
+    assert got.off == noon - 3600 * 10**6 and got.us == 1 and got.row == "x" and got.spans == 5
+
+
+def test_instants_dont_depend_on_the_session_zone(spark):
+    rows = [("2024-03-15T12:00:00Z", None), ("2024-03-10 02:30:00", "+00:00"), ("2024-03-10 02:30:00", "America/New_York"), ("1969-12-31 23:59:59.5", "Z"), ("2300-07-01 00:00:00", "Europe/Paris")]
+    want = instants_of(spark, rows)
+    assert want[:4] == [1710504000000000, 1710037800000000, 1710055800000000, -500000]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert instants_of(spark, rows) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
