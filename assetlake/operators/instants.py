@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
 from assetlake.functions.ids import norm_id
 from assetlake.functions.zones import CYCLE, FIRST_YEAR, LAST_YEAR, interval_table
 
@@ -64,36 +65,63 @@ def _table_second(s: Column, year: Column) -> Column:
     return F.when(year > LAST_YEAR, s - (first(year) - first(same)).cast("bigint") * DAY).otherwise(s)
 
 
-def parse_wall(df: DataFrame, text: str) -> DataFrame:
-    """(row, us, said, utc): the row of df as it is, wall-clock microseconds, the zone in the text (null if none), and
-    whether us is UTC already.
+def _parts(t: Column) -> Column:
+    """The nine parts of _SHAPE of a text; of a text of another shape one part."""
+    for shape, ordered in _DATES.items():
+        t = F.regexp_replace(t, shape, ordered)
+    return F.split(F.regexp_replace(t, _SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
+
+
+def _number(t: Column) -> Column:
+    """Microseconds since 1970 in UTC of a bare number of seconds or milliseconds."""
+    seconds = t.rlike(r"^-?\d{1,10}$") & ~t.rlike(r"^\d{8}$")
+    return F.when(seconds, t.try_cast("bigint") * 1_000_000).when(t.rlike(r"^-?\d{11,13}$"), t.try_cast("bigint") * 1000)
+
+
+def _clock(p: Column) -> Column:
+    """struct(us, said) of the parts of a text: wall-clock microseconds and the zone in the text, null if none."""
+    at = lambda k: F.get(p, k)
+    month = F.coalesce(_int(at(1)), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), at(1)), F.lit(0)).cast("int"))
+    hour = let(_int(at(3)), lambda h: F.when(at(7) == "", h).when(h.between(1, 12), h % 12 + F.when(at(7) == "p", 12).otherwise(0)))
+    numbers = F.array(_int(at(0)), month, _int(at(2)), hour, _int(at(4)), F.coalesce(_int(at(5)), F.lit(0)))
+    us = F.coalesce(F.substring(F.rpad(at(6), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0))
+
+    def wall(n: Column) -> Column:
+        y, mo, d, h, mi, s = (F.get(n, k) for k in range(6))
+        # A date without a time zone: no session setting has a part in it.
+        day = F.unix_date(F.try_make_timestamp_ntz(y, mo, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")).cast("bigint")
+        on_clock = h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
+        return F.when(on_clock, (day * DAY + h * 3600 + mi * 60 + s) * 1_000_000)
+
+    return F.when(F.size(p) == 9, F.struct((let(numbers, wall) + us).alias("us"), F.nullif(at(8), F.lit("")).alias("said")))
+
+
+def wall_time(text: Column) -> Column:
+    """struct(us, said, utc): wall-clock microseconds of a text, the zone in it (null if none), and whether us is UTC
+    already.
 
     us is null for values without a time of day, not on the calendar or clock, or of no known shape. Dots mean day
     first, slashes month first unless the year leads. A bare number of up to 10 digits is seconds, of 11 to 13
-    milliseconds, since 1970 in UTC; 8 digits are a date without time. Fractions keep six digits. The row is kept as one
-    column, so that no name of it can clash with another.
+    milliseconds, since 1970 in UTC; 8 digits are a date without time. Fractions keep six digits. It is one expression in
+    which each step is bound once: as a chain of columns the optimizer would write it out anew for each use.
     """
     t = F.lower(F.regexp_replace(F.regexp_replace(text, r"[\s\x00]+", " "), r"^ | $", ""))
-    for shape, ordered in _DATES.items():
-        t = F.regexp_replace(t, shape, ordered)
-    parts = F.split(F.regexp_replace("t", _SHAPE, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
-    # Each step is a projection of its own, so that each expression is evaluated once.
-    p = lambda k: F.get("p", k)
-    month = F.coalesce(_int(p(1)), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), p(1)), F.lit(0)).cast("int"))
-    h = _int(p(3))
-    hour = F.when(p(7) == "", h).when(h.between(1, 12), h % 12 + F.when(p(7) == "p", 12).otherwise(0))
-    number = F.when(F.col("t").rlike(r"^-?\d{1,10}$") & ~F.col("t").rlike(r"^\d{8}$"), F.col("t").try_cast("bigint") * 1_000_000).when(
-        F.col("t").rlike(r"^-?\d{11,13}$"), F.col("t").try_cast("bigint") * 1000
-    )
-    n = F.when(F.size("p") == 9, F.struct(
-        _int(p(0)).alias("y"), month.alias("mo"), _int(p(2)).alias("d"), hour.alias("h"), _int(p(4)).alias("mi"),
-        F.coalesce(_int(p(5)), F.lit(0)).alias("s"), F.coalesce(F.substring(F.rpad(p(6), 6, "0"), 1, 6).try_cast("bigint"), F.lit(0)).alias("us"), F.nullif(p(8), F.lit("")).alias("said")))
-    # A date without a time zone: no session setting has a part in it.
-    day = F.unix_date(F.try_make_timestamp_ntz(F.col("n.y"), F.col("n.mo"), F.col("n.d"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")).cast("bigint")
-    on_clock = F.col("n.h").between(0, 23) & F.col("n.mi").between(0, 59) & F.col("n.s").between(0, 59)
-    wall = F.when(on_clock, (day * DAY + F.col("n.h") * 3600 + F.col("n.mi") * 60 + F.col("n.s")) * 1_000_000 + F.col("n.us"))
-    out = df.select(F.struct("*").alias("row"), t.alias("t")).select("row", "t", parts.alias("p"), number.alias("number"))
-    return out.select("row", "number", n.alias("n")).select("row", F.coalesce("number", wall).alias("us"), F.col("n.said").alias("said"), F.col("number").isNotNull().alias("utc"))
+    said = lambda n, w: F.struct(F.coalesce(n, w["us"]).alias("us"), w["said"].alias("said"), n.isNotNull().alias("utc"))
+    return let(t, lambda t: let(_parts(t), lambda p: let(_clock(p), lambda w: let(_number(t), lambda n: said(n, w)))))
+
+
+def _zoned(w: Column, zone: Column) -> Column:
+    """struct(us, utc, off, named, s, year) of wall_time() and the zone beside it: off is a plain offset, named a zone
+    that must be looked up, s and year the second and year of the zone table that it is looked up by."""
+
+    def told(z: Column, off: Column) -> Column:
+        named = F.when(off.isNull() & ~w["utc"], z)
+        second = F.when(named.isNotNull(), _div(w["us"], 1_000_000))
+        at = let(second, lambda s: let(_year(s), lambda y: _table_second(s, y)))
+        made = lambda s: F.struct(w["us"].alias("us"), w["utc"].alias("utc"), off.alias("off"), named.alias("named"), s.alias("s"), F.when(s.isNotNull(), F.greatest(_year(s), F.lit(FIRST_YEAR))).alias("year"))
+        return let(at, made)
+
+    return let(F.coalesce(w["said"], F.lower(F.trim(zone))), lambda z: let(offset_seconds(z), lambda off: told(z, off)))
 
 
 def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> DataFrame:
@@ -104,26 +132,21 @@ def to_instants(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> Dat
     shuffle: the intervals are bounded by the tz database, so that they are broadcast. df may have columns of any name;
     one that is called as `out` is replaced.
     """
-    parsed = parse_wall(df, text)
-    parsed = parsed.select("row", "us", "utc", F.coalesce("said", F.lower(F.trim(F.col("row")[zone]))).alias("z"))
-    parsed = parsed.select("*", offset_seconds(F.col("z")).alias("off"))
-    parsed = parsed.select("*", F.when(F.col("off").isNull() & ~F.col("utc"), F.col("z")).alias("named"))
-    parsed = parsed.select("*", F.when(F.col("named").isNotNull(), _div(F.col("us"), 1_000_000)).alias("wall"))
-    parsed = parsed.select("*", _year(F.col("wall")).alias("at"))
-    parsed = parsed.select("*", _table_second(F.col("wall"), F.col("at")).alias("s"))
-    parsed = parsed.select("*", F.when(F.col("s").isNotNull(), F.greatest(_year(F.col("s")), F.lit(FIRST_YEAR))).alias("year"))
+    # The row is kept as one column, so that none of its names can clash with another.
+    parsed = df.select(F.struct("*").alias("row"), let(wall_time(F.col(text)), lambda w: _zoned(w, F.col(zone))).alias("at"))
     spans = F.broadcast(interval_table(df.sparkSession).toDF("zone_key", "zone_year", "spans"))
-    joined = parsed.join(spans, (F.col("named") == F.col("zone_key")) & (F.col("year") == F.col("zone_year")), "left")
-    s = F.col("s")
-    holding = F.filter("spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
-    # Two intervals: the larger offset is the earlier instant. None: the last interval that ended before.
-    ended = F.filter("spans", lambda x: x["hi"] <= s)
-    named_off = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda x: x["off"]))).when(
-        F.size(ended) > 0, F.array_max(F.transform(ended, lambda x: F.struct(x["hi"], x["off"])))["off"]
-    )
-    off = F.coalesce(F.col("off"), named_off)
-    us = F.when(F.col("utc"), F.col("us")).otherwise(F.col("us") - off.cast("bigint") * 1_000_000)
-    return joined.select(*(F.col("row")[c].alias(c) for c in df.columns if c != out), us.alias(out))
+    joined = parsed.join(spans, (F.col("at.named") == F.col("zone_key")) & (F.col("at.year") == F.col("zone_year")), "left")
+
+    def instant(at: Column) -> Column:
+        s = at["s"]
+        holding = F.filter("spans", lambda x: (x["lo"] <= s) & (s < x["hi"]))
+        # Two intervals: the larger offset is the earlier instant. None: the last interval that ended before.
+        ended = F.filter("spans", lambda x: x["hi"] <= s)
+        last = F.array_max(F.transform(ended, lambda x: F.struct(x["hi"], x["off"])))["off"]
+        off = F.coalesce(at["off"], F.array_max(F.transform(holding, lambda x: x["off"])), last)
+        return F.when(at["utc"], at["us"]).otherwise(at["us"] - off.cast("bigint") * 1_000_000)
+
+    return joined.select(*(F.col("row")[c].alias(c) for c in df.columns if c != out), instant(F.col("at")).alias(out))
 
 
 def recorded_instants(file_records: DataFrame, exif: DataFrame) -> DataFrame:
