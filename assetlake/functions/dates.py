@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetlake.config import DATE_PATTERNS
 from assetlake.functions.binding import let
-from assetlake.functions.paths import basename, parent_name, stem
+from assetlake.functions.paths import basename, parent_name
 
 
 def name_date(text: Column, confidence: float, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
@@ -60,7 +60,7 @@ def date_result(metadata: Column, path: Column, nearby: Column | None = None) ->
     """struct(date, source, confidence): of metadata (1.0), else the file name (0.8), the folder name (0.6), or the
     files beside it (0.3); source none and a null date if nothing tells."""
     tier = lambda c, date, source, sure: F.when(c, F.struct(date.alias("date"), F.lit(source).alias("source"), sure.alias("confidence")))
-    name, folder = name_date(stem(path), 0.8), name_date(parent_name(path), 0.6)
+    name, folder = name_date(basename(path), 0.8), name_date(parent_name(path), 0.6)
     tiers = [
         tier(metadata.isNotNull(), metadata, "metadata", F.lit(1.0)),
         tier(name.isNotNull(), name["date"], "parsed", name["confidence"]),
@@ -72,4 +72,4 @@ def date_result(metadata: Column, path: Column, nearby: Column | None = None) ->
     return F.coalesce(*tiers, nothing)
 
 
-__all__ = ["basename", "date_result", "exif_date", "name_date", "tool_date"]
+__all__ = ["date_result", "exif_date", "name_date", "tool_date"]

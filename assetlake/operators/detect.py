@@ -26,7 +26,7 @@ def content_type(path: Column, head: Column) -> Column:
     audio_ext = rules.lookup(ext, TYPE_OF) == "audio"
     as_audio = F.struct(F.coalesce(rules.lookup(ext, MIME_OF), F.lit("audio/mp4")).alias("mime"), F.lit("audio").alias("file_type"))
     boxed = F.when((boxed["file_type"] == "video") & audio_ext, as_audio).otherwise(boxed)
-    magic = rules.first_match([(hexed.startswith(k), pair(*v)) for k, v in sorted(rules.MAGIC.items(), key=lambda kv: -len(kv[0]))])
+    magic = rules.first_match([(hexed.startswith(k.hex().upper()), pair(*v)) for k, v in sorted(rules.MAGIC.items(), key=lambda kv: -len(kv[0]))])
     return F.coalesce(riff, boxed, magic, F.struct(mime_of(path).alias("mime"), file_type_of(path).alias("file_type")))
 
 

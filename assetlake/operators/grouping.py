@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake import rules
+from assetlake.config import Config
 from assetlake.functions.paths import basename, extension, parent_dir, stem
 from assetlake.runtime import cut, ranked
 
@@ -61,7 +62,7 @@ def bursts(files: DataFrame, camera: Column, date: Column, flagged: Column, patt
     named = files.select(F.col(member), F.col(path), camera.alias("_camera"), F.date_trunc("second", date).cast("timestamp_ntz").alias("_second"), flagged.alias("_flagged"), stem(F.col(path)).alias("_stem"))
     left = cut(named, "shots")
     camera, second, flagged, name = F.col("_camera"), F.col("_second"), F.col("_flagged"), F.col("_stem")
-    prefix = F.coalesce(F.nullif(F.regexp_extract(name, r"^(.+?)[_\-](?:BURST|BRACKETED|burst|bracketed)\d*", 1), F.lit("")), name)
+    prefix = F.coalesce(F.nullif(F.regexp_extract(name, Config().burst_keywords, 1), F.lit("")), name)
     out = None
     layers = (
         ("exif", flagged, [camera, second], 2),

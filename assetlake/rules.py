@@ -42,13 +42,13 @@ FTYP = {
     ("video/quicktime", "video"): ["qt  "], ("video/3gpp", "video"): ["3gp4", "3gp5", "3gp6"], ("image/heic", "image"): ["heic", "heix", "hevc"],
     ("image/heif", "image"): ["mif1"], ("image/heif-sequence", "image"): ["msf1"], ("image/avif", "image"): ["avif"], ("image/avif-sequence", "image"): ["avis"],
 }
-# Leading bytes (hex) by MIME and file type, and the four letters of RIFF containers.
+# Leading bytes by MIME and file type, and the four letters of RIFF containers.
 MAGIC = {
-    "89504E470D0A1A0A": ("image/png", "image"), "474946383761": ("image/gif", "image"), "474946383961": ("image/gif", "image"),
-    "49492A00": ("image/tiff", "image"), "4D4D002A": ("image/tiff", "image"), "1A45DFA3": ("video/x-matroska", "video"),
-    "664C6143": ("audio/flac", "audio"), "4F676753": ("audio/ogg", "audio"), "25504446": ("application/pdf", "document"),
-    "504B0304": ("application/zip", "document"), "FFD8FF": ("image/jpeg", "image"), "494433": ("audio/mpeg", "audio"),
-    "424D": ("image/bmp", "image"), "FFFB": ("audio/mpeg", "audio"), "FFF3": ("audio/mpeg", "audio"), "FFF2": ("audio/mpeg", "audio"),
+    b"\x89PNG\r\n\x1a\n": ("image/png", "image"), b"GIF87a": ("image/gif", "image"), b"GIF89a": ("image/gif", "image"),
+    b"II*\x00": ("image/tiff", "image"), b"MM\x00*": ("image/tiff", "image"), b"\x1aE\xdf\xa3": ("video/x-matroska", "video"),
+    b"fLaC": ("audio/flac", "audio"), b"OggS": ("audio/ogg", "audio"), b"%PDF": ("application/pdf", "document"),
+    b"PK\x03\x04": ("application/zip", "document"), b"\xff\xd8\xff": ("image/jpeg", "image"), b"ID3": ("audio/mpeg", "audio"),
+    b"BM": ("image/bmp", "image"), b"\xff\xfb": ("audio/mpeg", "audio"), b"\xff\xf3": ("audio/mpeg", "audio"), b"\xff\xf2": ("audio/mpeg", "audio"),
 }
 RIFF = {"WEBP": ("image/webp", "image"), "AVI ": ("video/x-msvideo", "video"), "WAVE": ("audio/wav", "audio")}
 
