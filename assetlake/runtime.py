@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
 
-#: A side of at most so many rows of a few dozen bytes (about 20 MB) may be broadcast.
+#: A side of at most so many rows and bytes may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -83,12 +84,33 @@ def _tidy() -> None:
             return
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else df as it is, for a shuffled join.
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows of at most `size` bytes in all (as JSON text), else df as
+    it is, for a shuffled join.
 
-    df must be cheap to count: a table written by cut() or a small source.
+    df must be cheap to read: a table written by cut() or a small source. Not more than rows + 1 rows are measured.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    text = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    n, b = df.limit(rows + 1).select(text.alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
+
+
+#: Bits of a sieve, in chunks of 32,768 bits: 16 MB at most.
+SIEVE_BITS = 1 << 27
+
+
+def sieved(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among `keys` (a DataFrame with the column `key`): all that are, and of the others as
+    many as there are bits set in a table of SIEVE_BITS. What is broadcast is bounded by that, however many keys there
+    are, so that wide rows are dropped before a shuffled join. Null keys are dropped."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bits = keys.where(F.col(key).isNotNull()).select(place(F.col(key)).alias("h")).select(F.shiftright("h", 15).alias("_chunk"), F.pmod("h", F.lit(1 << 15)).alias("bit"))
+    table = bits.groupBy("_chunk").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+    marked = df.where(F.col(key).isNotNull()).withColumn("_place", place(F.col(key))).withColumn("_chunk", F.shiftright("_place", 15))
+    at = F.pmod("_place", F.lit(1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    hit = marked.join(F.broadcast(table), "_chunk").where(F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1)
+    return hit.select(*df.columns)
 
 
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None, hot_keys: int = 1000) -> DataFrame:
@@ -131,4 +153,4 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "ship", "skew_lookup"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "ship", "sieved", "skew_lookup"]

@@ -167,3 +167,16 @@ def test_lookup_of_hot_keys(spark):
 
 def test_extension_of_numbered_names():
     assert extension(F.lit("a")) is not None and destinations._numbered("a.b.c", 2) == "a.b-2.c" and destinations._numbered(".h", 1) == ".h-1"
+
+
+def test_sieve_keeps_all_that_are_asked_for(spark):
+    from assetlake.runtime import bounded_broadcast, sieved
+
+    d = spark.range(20_000).withColumn("text", F.lit("x"))
+    asked = spark.createDataFrame([(k * 3,) for k in range(500)] + [(None,)], "id bigint")
+    got = {r.id for r in sieved(d, "id", asked).collect()}
+    assert {k * 3 for k in range(500)} <= got and len(got) < 600
+    assert sieved(d, "id", asked.limit(0)).count() == 0
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(bounded_broadcast(wide)) and not hinted(bounded_broadcast(wide, rows=9)) and not hinted(bounded_broadcast(wide, size=5000))
