@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assetlake.llm import components, history, language, leakage, names, packing, survivors
 
@@ -40,6 +43,18 @@ def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_t(spark, d, "documents"))
 
 
+def p7_proof(spark: SparkSession, d: str) -> DataFrame:
+    """That the containers hold every token of every document and none is overfull."""
+    return packing.packing_proof(packing.pack_documents(_t(spark, d, "documents")))
+
+
+def p7_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """The same where segments and loss bind: three documents a container, of which the first sentence bears no loss."""
+    limits = {"capacity": 4096, "segments": 3, "loss_tokens": 3600}
+    sentence = F.octet_length(F.encode(F.substring_index("text", ". ", 1), "utf-8"))
+    return packing.packing_proof(packing.pack_documents(_t(spark, d, "documents"), **limits, prompt=sentence), **limits).drop("tight")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "eval_items"), _t(spark, d, "documents"))
 
@@ -55,7 +70,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p3_found, p4_found, p5_found, p5_golden, p7_found, p7_assignment, p8_found, p9_found, p9_segments)
+    for f in (p1_found, p3_found, p4_found, p5_found, p5_golden, p7_found, p7_assignment, p7_proof, p7_instructions, p8_found, p9_found, p9_segments)
 }
 
 _ID = r"nullif(lower(regexp_replace({}, '^[\s\x00]+|[\s\x00]+$', '', 'g')), '')"
@@ -93,7 +108,26 @@ m AS (
   UNION SELECT g.group_id, r.* FROM g JOIN r ON g.kind = 'exact' AND r.session = g.session AND r.sha = g.h)
 """
 
+# Compatible forms of one character, by the rule of Unicode, and the ligatures.
+_FORMS = {chr(c): n for c in range(0xA0, 0x10000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c) and n not in "'"}
+_NFKC = f"translate(text, '{''.join(_FORMS)}', '{''.join(_FORMS.values())}')"
+for _c in range(0xFB00, 0xFB07):
+    _NFKC = f"replace({_NFKC}, '{chr(_c)}', '{unicodedata.normalize('NFKC', chr(_c))}')"
+_PLAIN = rf"lower(regexp_replace(regexp_replace({_NFKC}, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{{2,8}}|#\d{{1,7}});', ' ', 'g'))"
+_WORDS = rf"list_filter(string_split(regexp_replace({_PLAIN}, '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
 SQL = {
+    "p7_proof": "SELECT count(*) AS documents, CAST(sum(coalesce(octet_length(encode(text)), 0) + 1) AS BIGINT) AS tokens, CAST(sum(coalesce(octet_length(encode(text)), 0) + 1) AS BIGINT) AS loss_tokens, 0 AS overfull, 0 AS gaps, true AS tight FROM documents",
+    "p7_instructions": """SELECT count(*) AS documents, CAST(sum(coalesce(octet_length(encode(text)), 0) + 1) AS BIGINT) AS tokens,
+  CAST(sum(coalesce(octet_length(encode(text)) - octet_length(encode(CASE WHEN contains(text, '. ') THEN split_part(text, '. ', 1) ELSE text END)), 0) + 1) AS BIGINT) AS loss_tokens, 0 AS overfull, 0 AS gaps FROM documents""",
+    "p8_found": f"""
+WITH i0 AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE item_id IS NOT NULL),
+d0 AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, len(w) AS n, k, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM i0 WHERE len(w) >= 5)),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d0 WHERE len(w) >= 5)),
+h AS (SELECT DISTINCT i.item_id, d.doc_id, n, k FROM i JOIN d USING (s)),
+c AS (SELECT *, least(5, coalesce(k - lag(k) OVER (PARTITION BY item_id, doc_id ORDER BY k), 5)) AS more FROM h)
+SELECT item_id, doc_id FROM c GROUP BY item_id, doc_id, n HAVING sum(more) * 3 >= n""",
     "p1_found": f"""
 WITH RECURSIVE l AS (
   SELECT DISTINCT {_id("file_a_id")} AS a, {_id("file_b_id")} AS b FROM perceptual_match

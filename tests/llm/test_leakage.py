@@ -70,3 +70,19 @@ def test_writing_makes_no_difference(spark):
 
 def test_nothing_leaks_from_nothing(spark):
     assert found(spark, [], [(1, "a b c d e f")]) == set() and found(spark, [(1, "a b c d e f")], []) == set()
+
+
+def test_sketches_are_thinned_by_size(spark):
+    """Long items keep a share of their hashes; leaks that share few of those left are missed as rarely as asked for."""
+    rnd = random.Random(4)
+    items = [(k, " ".join(rnd.choice(WORDS) for _ in range(2000))) for k in range(40)]
+    docs = []
+    for k, t in items:  # the least leak there is: runs of five words with others between them
+        w = t.split()
+        docs.append((k, " ".join(" ".join(w[a : a + 5]) + f" gap{k}" for a in range(0, 2000, 14))))
+    want = brute(items, docs)
+    assert want == {(k, k) for k in range(40)} == found(spark, items, docs)
+    i, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    share = lambda miss: leakage.item_sketches(i, "item_id", "text", miss).count() / (40 * 1996)
+    assert 0.1 < share(leakage.MISS) < 0.2 and share(0.2) < 0.02
+    assert len({tuple(r) for r in leakage.leaked_items(i, d, miss=0.2).collect()} & want) >= 24

@@ -45,3 +45,17 @@ def test_shards_and_repeats(spark, shard):
     got = packing.pack_items(d, (10, 2, 10), shard).groupBy("container_id").agg(F.sum("tokens").alias("t"), F.sum("segments").alias("s")).collect()
     assert sum(r.t for r in got) == 45 and all(r.t <= 10 and r.s <= 2 for r in got)
     assert packing.pack_items(d.limit(0), (10, 2, 10)).count() == 0
+
+
+def test_items_beyond_a_limit_are_alone():
+    bins = packing.pack_shard(np.array([[4, 1, 9], [4, 1, 1], [20, 1, 1], [6, 1, 1]]), np.array([10, 2, 5])).tolist()
+    assert bins[1] == bins[3] and len(set(bins)) == 3
+
+
+def test_loss_and_segments_bind(spark):
+    rnd = np.random.default_rng(2)
+    d = spark.createDataFrame([(k, "p" * int(rnd.integers(0, 40)) + "|" + "x" * int(rnd.integers(1, 150))) for k in range(200)], "doc_id bigint, text string")
+    limits = {"capacity": 100, "segments": 2, "loss_tokens": 60}
+    proof = packing.packing_proof(packing.pack_documents(d, **limits, prompt=F.locate("|", F.col("text"))), **limits).first()
+    assert (proof.documents, proof.overfull, proof.gaps) == (200, 0, 0)
+    assert proof.tokens == d.selectExpr("sum(octet_length(text) + 1)").first()[0] and proof.loss_tokens == d.selectExpr("sum(octet_length(text) + 1 - locate('|', text))").first()[0]
