@@ -301,12 +301,10 @@ def category_size_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The hashes that a stream of the records accepts, whatever batches it falls into."""
-    import uuid
-
-    from assetlake.runtime import shared_dir
+    from assetlake.runtime import scratch_dir
     from assetlake.streaming import ingest
 
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "stream")
     source = table(spark, d, "file_records")
     ingest.start_ingest(spark, f"{d}/file_record[s].parquet", source.schema, root).awaitTermination()
     return ingest.accepted(spark, root).select("sha256_hash")

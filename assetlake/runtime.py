@@ -49,15 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/assetlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and returns a scan of it: lineage ends here, and a lost
     executor costs nothing of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/assetlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._assetlake_path = path
-    _WRITTEN.append((spark, path))
     return out
 
 
@@ -153,4 +159,4 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "shared_dir", "ship", "sieved", "skew_lookup"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "scratch_dir", "shared_dir", "ship", "sieved", "skew_lookup"]
