@@ -47,24 +47,65 @@ def test_repeats_like_brute_force(spark, seed, monkeypatch):
     assert set(rows) == brute(records, sessions, hashes) and len(rows) == len(set(rows)) and any(r[1] == "near" for r in rows)
 
 
-def test_batches_appended_one_by_one_give_the_same_pairs(spark):
+def near_pairs(vectors):
+    return {(a, b) for a in vectors for b in vectors if bin(a ^ b).count("1") <= 3}
+
+
+def probed(index, d):
+    return {(r.query_bits, r.bits) for r in index.probe(d, F.lit(True)).collect()}
+
+
+def test_batches_appended_one_by_one_give_the_same_pairs(spark, tmp_path, monkeypatch):
+    """Opened anew for each batch; the cells are so small that the index outgrows its bands."""
+    monkeypatch.setattr(history, "CELL_VECTORS", 0.0005)
     rnd = random.Random(9)
     base = [rnd.getrandbits(63) for _ in range(10)]
     vectors = sorted({b ^ sum(1 << rnd.randrange(60) for _ in range(rnd.randrange(5))) for b in base for _ in range(8)})
-    d = spark.createDataFrame([(v,) for v in vectors], "bits bigint")
-    whole, parts = history.CellIndex(3, 80), history.CellIndex(3, 80)
-    whole.append(d, [])
+    d = spark.createDataFrame([(v, f"p{v}") for v in vectors], "bits bigint, name string")
     for k in range(3):
-        parts.append(d.where(F.pmod("bits", F.lit(3)) == k), [])
-    want = {(a, b) for a in vectors for b in vectors if a != b and bin(a ^ b).count("1") <= 3}
-    for index in (whole, parts):
-        assert {tuple(r) for r in index.probe(d, [], F.lit(True)).collect()} == want
+        history.CellIndex(spark, f"{tmp_path}/i").append(d.where(F.pmod("bits", F.lit(3)) == k))
+    index = history.CellIndex(spark, f"{tmp_path}/i")
+    assert index.r > history.bands_for(len(vectors) // 3 - 9, 3) and index.vectors == len(vectors) and probed(index, d) == near_pairs(vectors)
+    with pytest.raises(ValueError):
+        history.CellIndex(spark, f"{tmp_path}/i", radius=2)
+
+
+def test_hot_cells_are_split(spark, tmp_path, monkeypatch):
+    """Vectors that differ in few bits share the cells of three of four quantizers."""
+    monkeypatch.setattr(history, "HOT_CELL", 30)
+    vectors = sorted(random.Random(1).sample(range(1 << 12), 150)) + [-1, -2, 2**62]
+    d = spark.createDataFrame([(v,) for v in vectors], "bits bigint")
+    index = history.CellIndex(spark, f"{tmp_path}/i")
+    index.append(d)
+    want = {(a, b) for a in vectors for b in vectors if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert probed(index, d) == want
+
+
+def test_sessions_checked_in_order_like_all_at_once(spark, tmp_path):
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(4)]
+    bits = lambda: f"{rnd.choice(base) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)):x}"
+    records = [(f"f{k}", f"s{k % 3}", f"h{rnd.randrange(12)}", bits(), 1, None) for k in range(45)]
+    sessions = [(f"s{k}", T0 + dt.timedelta(days=5 * k), T0) for k in range(3)]
+    hashes = [(f"h{rnd.randrange(12)}", f"p{k}", T0 + dt.timedelta(days=rnd.randrange(-2, 12))) for k in range(30)]
+    r, h = spark.createDataFrame(records, RECORD), spark.createDataFrame(hashes, "sha256_hash string, rel_path string, added_at timestamp")
+    got = set()
+    past = history.History(spark, str(tmp_path))
+    past.accept(h)
+    for s, began, _ in sessions:
+        batch = r.where(F.col("session_id") == s).select(F.col("id").alias("file_id"), "sha256_hash", "perceptual_hash")
+        got |= {tuple(x) for x in history.History(spark, str(tmp_path)).check(batch, began).collect()}
+        past.append(batch)
+    assert got == brute(records, sessions, hashes) and any(x[1] == "near" for x in got)
 
 
-@pytest.mark.parametrize("vectors", [10, 10**6, 10**8, 10**10, 10**13])
-def test_quantizers_cover_the_vector(vectors):
-    q = history.quantizers(vectors, 3)
+@pytest.mark.parametrize("r", [1, 2, 3, 6])
+def test_quantizers_cover_the_vector(r):
+    q = history.quantizers(r, 3)
     assert len(q) >= 4 and all(sum(w for _, w in bands) <= 63 for bands in q) and {b for bands in q for a, w in bands for b in range(a, a + w)} == set(range(64))
+    for finer in history.split_quantizer(q[0], 3):
+        assert sum(w for _, w in finer) > sum(w for _, w in q[0])
+    assert history.split_quantizer([(0, 62)], 3) == []
 
 
 def test_nothing_before(spark):
