@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -56,17 +56,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", **seen: Column) -> DataFrame:
     """Writes df as a table in the shared folder and returns a scan of it: lineage ends here, and a lost
-    executor costs nothing of what was written."""
+    executor costs nothing of what was written. seen: aggregates that are taken as rows are written, at no job of their
+    own; seen_of() tells them."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    told = Observation()
+    watched = df.observe(told, *(c.alias(k) for k, c in seen.items())) if seen else df
+    watched.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._assetlake_path = path
+    out._assetlake_seen = told.get if seen else {}
     return out
 
 
+def seen_of(df: DataFrame, name: str):
+    """An aggregate that cut() took of df."""
+    return df._assetlake_seen[name]
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes a table written by cut() that no later plan reads."""
     path = getattr(df, "_assetlake_path", None)
@@ -119,23 +128,24 @@ def sieved(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return hit.select(*df.columns)
 
 
-def skew_lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None, hot_keys: int = 1000) -> DataFrame:
+def skew_lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None, hot_keys: int = 1000, rows: int | None = None) -> DataFrame:
     """left ⟕ right on `key`, where right has one row per key and left may have a key on a third of its rows.
 
     Keys that hold more than 1/hot_keys of left's rows number fewer than hot_keys, so their rows of right are
     broadcast with that proven bound; all other keys are joined by a shuffle. `hot` may give the hot keys (a
-    DataFrame of one column `key`, at most hot_keys rows). Null keys find nothing. No row is dropped.
+    DataFrame of one column `key`, at most hot_keys rows); rows: how many rows left has, if that is known. Null keys find
+    nothing. No row is dropped.
     """
     if hot is None:
         counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-        total = left.count()
+        total = left.count() if rows is None else rows
         if total < 100_000:  # one task would hold it
             return left.join(right, key, "left")
         hot = counts.where(F.col("count") * hot_keys > total).select(key)
-    rows = hot.collect()  # fewer than hot_keys, by the rule above
-    if not rows:
+    found = hot.collect()  # fewer than hot_keys, by the rule above
+    if not found:
         return left.join(right, key, "left")
-    values = [r[0] for r in rows]
+    values = [r[0] for r in found]
     is_hot = F.coalesce(F.col(key).isin(values), F.lit(False))
     small = F.broadcast(right.where(F.col(key).isin(values)))
     return left.where(is_hot).join(small, key, "left").unionByName(left.where(~is_hot).join(right, key, "left"))
@@ -159,4 +169,4 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "scratch_dir", "shared_dir", "ship", "sieved", "skew_lookup"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "scratch_dir", "seen_of", "shared_dir", "ship", "sieved", "skew_lookup"]
