@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.runtime import cut, discard, skew_lookup
+from assetlake.runtime import cut, discard, seen_of, skew_lookup
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -36,67 +36,85 @@ def _rake(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(gone.select("a", "b"), ["a", "b"], "left_anti"), gone
 
 
-def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ahead(ptr: DataFrame) -> DataFrame:
+    """One step of pointer doubling: each dart that hasn't ended moves on to what its successor points to. A dart whose
+    successor isn't there has reached an end of its chain. news: whether a dart ended or saw a smaller vertex."""
+    then = ptr.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("nu2"), F.col("nv").alias("nv2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+    ends = F.col("nu2").isNull() | F.col("done2")
+    moved = ptr.where("not done").join(then, ["nu", "nv"], "left").select(
+        "u", "v", F.coalesce("nu2", "nu").alias("nu"), F.coalesce("nv2", "nv").alias("nv"), F.least("least", "least2").alias("least"), ends.alias("done"),
+        (F.col("news") | ends | (F.least("least", "least2") < F.col("least"))).alias("news"))
+    return ptr.where("done").unionByName(moved)
+
+
+def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Compresses the chains of vertices of degree two: (edges left and those that replace chains, removed v with
-    parent p). A cycle of such vertices is removed but for its smallest."""
-    inner = cut(_ends(edges).where("deg = 2").select("v", "lo", "hi"), "chain")
-    n = inner.count()
-    if not n:
-        return edges, inner.select("v", F.col("lo").alias("p"))
+    parent p). A cycle of such vertices is removed but for its smallest. None if there is no such vertex."""
     # Dart (u, v) enters v from u and points to the dart by which it leaves v: (v, w).
-    darts = inner.select(F.explode(F.array(
+    darts = _ends(edges).where("deg = 2").select(F.explode(F.array(
         F.struct(F.col("lo").alias("u"), "v", F.col("v").alias("nu"), F.col("hi").alias("nv")),
         F.struct(F.col("hi").alias("u"), "v", F.col("v").alias("nu"), F.col("lo").alias("nv")))).alias("d")).select("d.*")
-    ptr = cut(darts.select("u", "v", "nu", "nv", F.least("u", "v", "nv").alias("least"), F.lit(False).alias("done"), F.lit(False).alias("news")), "darts")
-    step = 0
+    first = cut(darts.select("u", "v", "nu", "nv", F.least("u", "v", "nv").alias("least"), F.lit(False).alias("done"), F.lit(False).alias("news")), "darts", rows=_rows())
+    n = seen_of(first, "rows")
+    if not n:
+        return edges, None
+    ptr, step = first, 0
     while True:
-        ahead = ptr.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("nu2"), F.col("nv").alias("nv2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
-        # A dart whose successor isn't there has reached an end of its chain.
-        moved = ptr.where("not done").join(ahead, ["nu", "nv"], "left").select(
-            "u", "v", F.coalesce("nu2", "nu").alias("nu"), F.coalesce("nv2", "nv").alias("nv"),
-            F.least("least", "least2").alias("least"), (F.col("nu2").isNull() | F.col("done2")).alias("done"), (F.least("least", "least2") < F.col("least")).alias("news"))
-        new = cut(ptr.where("done").withColumn("news", F.lit(False)).unionByName(moved.withColumn("news", F.col("news") | F.col("done"))), "darts")
-        discard(ptr)
-        ptr, step = new, step + 1
+        # Two steps a job.
+        new = cut(_ahead(_ahead(ptr.withColumn("news", F.lit(False)))), "darts", news=F.max("news"))
+        if ptr is not first:
+            discard(ptr)
+        ptr, step = new, step + 2
         # Darts of a cycle never end. In a chain some dart ends at each step, so that when none did, and no dart saw a
         # smaller vertex, only cycles are left, and each of their darts has seen the least of its cycle.
-        if not ptr.where("news").limit(1).count() or 2**step > 2 * n:
+        if not seen_of(ptr, "news") or 2**step > 2 * n:
             break
     both = ptr.groupBy("v").agg(F.min("nv").alias("e"), F.max("nv").alias("f"), F.min("least").alias("least"), F.bool_and("done").alias("ended"))
     gone = cut(both.select("v", F.when(F.col("ended"), F.col("e")).otherwise(F.col("least")).alias("p"), "e", "f", "ended"), "chains")
     discard(ptr)
-    removed = inner.select(F.explode(F.array(F.struct(*_pair("v", "lo")), F.struct(*_pair("v", "hi")))).alias("x")).select("x.*").distinct()
+    removed = first.select(*_pair("u", "v")).distinct()
     left = edges.join(removed, ["a", "b"], "left_anti")
     bridges = gone.where("ended AND e <> f").select(F.col("e").alias("a"), F.col("f").alias("b")).distinct()
     return left.unionByName(bridges).distinct(), gone.where("v <> p").select("v", "p")
 
 
+def _rows():
+    return F.count(F.lit(1))
+
+
 def _flatten(parents: DataFrame) -> DataFrame:
     """v, p: each vertex with the root of its tree, by pointer doubling. A root is a p without a row of its own."""
-    while True:
-        up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        new = cut(skew_lookup(parents, up, "p").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parents")
-        moved = new.where("moved").limit(1).count()
+    parents = cut(parents, "parents", rows=_rows())
+    rows = seen_of(parents, "rows")
+
+    def jump(x: DataFrame) -> DataFrame:
+        up = x.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        return skew_lookup(x.select("v", "p"), up, "p", rows=rows).select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+
+    moved = rows > 0
+    while moved:
+        # Two jumps a job; when the second moves nothing all point to roots.
+        new = cut(jump(jump(parents)), "parents", moved=F.max("moved"))
+        moved = seen_of(new, "moved")
         discard(parents)
-        parents = new.drop("moved")
-        parents._assetlake_path = new._assetlake_path
-        if not moved:
-            return parents
+        parents = new
+    return parents.select("v", "p")
 
 
 def _contract(edges: DataFrame) -> list[DataFrame]:
     """Solves the core: each round hooks every vertex to its smallest neighbour if that is smaller, and edges are
     carried over to the roots. Returns the hooks of each round (v, p)."""
     hooks = []
-    while edges.limit(1).count():
-        hook = _flatten(cut(_ends(edges).where("lo < v").select("v", F.col("lo").alias("p")), "hooks"))
+    left = edges.limit(1).count()
+    while left:
+        hook = _flatten(_ends(edges).where("lo < v").select("v", F.col("lo").alias("p")))
         hooks.append(hook)
         a = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         b = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = skew_lookup(skew_lookup(edges, a, "a"), b, "b").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y"))
-        new = cut(moved.where("x <> y").select(*_pair("x", "y")).distinct(), "core")
+        new = cut(moved.where("x <> y").select(*_pair("x", "y")).distinct(), "core", rows=_rows())
         discard(edges)
-        edges = new
+        edges, left = new, seen_of(new, "rows")
     return hooks
 
 
@@ -114,29 +132,30 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", shrink: float
     # Numbers in the order of the ids: the smallest number of a group is its smallest id.
     ids = cut(names.select("id", F.monotonically_increasing_id().alias("v")), "ids")
     edges = skew_lookup(skew_lookup(links, ids.select(F.col("id").alias("x"), F.col("v").alias("a")), "x"), ids.select(F.col("id").alias("y"), F.col("v").alias("b")), "y").select("a", "b")
-    edges = cut(edges, "edges")
+    edges = cut(edges, "edges", rows=_rows())
+    left = seen_of(edges, "rows")
     discard(links)
     removed: list[DataFrame] = []
-    left = edges.count()
     while left:
         before = left
-        edges, gone = _rake(edges)
+        raked, gone = _rake(edges)
         removed.append(gone.select("v", "p"))
-        new = cut(edges, "edges")
-        if not new.limit(1).count():
-            edges = new
+        edges = cut(raked, "edges", rows=_rows())
+        left = seen_of(edges, "rows")
+        if not left:
             break
-        packed, chains = _compress(new)
-        removed.append(chains)
-        edges = cut(packed, "edges")
-        left = edges.count()
+        packed, chains = _compress(edges)
+        if chains is not None:
+            removed.append(chains)
+            edges = cut(packed, "edges", rows=_rows())
+            left = seen_of(edges, "rows")
         if left > shrink * before:
             break
     removed += _contract(edges)
     parents = spark.createDataFrame([], "v bigint, p bigint")
     for r in removed:
         parents = parents.unionByName(r)
-    parents = _flatten(cut(parents, "parents"))
+    parents = _flatten(parents)
     least = parents.groupBy("p").agg(F.least(F.min("v"), F.first("p")).alias("m"))
     least = least.join(ids.select(F.col("v").alias("m"), F.col("id").alias("group_id")), "m").select("p", "group_id")
     roots = parents.select(F.col("p").alias("v"), "p").distinct()
