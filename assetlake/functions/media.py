@@ -79,3 +79,21 @@ def oriented(w: Column, h: Column, orientation: Column) -> Column:
     """struct(w, h) as shown: orientations 5 to 8 lie on their side."""
     turned = F.coalesce(orientation.isin(5, 6, 7, 8), F.lit(False))
     return F.struct(F.when(turned, h).otherwise(w).alias("w"), F.when(turned, w).otherwise(h).alias("h"))
+
+
+def top_tag(tags: Column) -> Column:
+    """The name of the tag with the greatest count, the first among equals; tags without a name don't count. tags:
+    array<struct<name, count>>."""
+    named = F.filter(tags, lambda t: F.coalesce(t["name"], F.lit("")) != "")
+    ranked = F.transform(named, lambda t, i: F.struct(F.coalesce(t["count"].cast("bigint"), F.lit(0)).alias("n"), (-i).alias("i"), t["name"].alias("name")))
+    return F.array_max(ranked)["name"]
+
+
+def first_named(items: Column, field: str) -> Column:
+    """The first value of a field of an array of structs that isn't null or empty."""
+    return F.get(F.filter(F.transform(items, lambda x: x[field]), lambda v: F.coalesce(v, F.lit("")) != ""), 0)
+
+
+def first_year(dates: Column) -> Column:
+    """The first year from 1900 to 2100 among dates written year first."""
+    return F.get(F.filter(F.transform(dates, year_tag), lambda y: y.isNotNull()), 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.runtime import cut, running
+
 
 def survivor_key(path: str = "source_path", mtime: str = "mtime") -> Column:
     """Order of survival: shorter path, earlier mtime (a missing one last), smaller path."""
@@ -18,12 +20,13 @@ def survivors(files: DataFrame, by: list[str], key: Column | None = None) -> Dat
     The best of each group is an aggregate with a map-side part, so that no task sorts a hot group.
     """
     key = key if key is not None else survivor_key()
-    marked = files.withColumn("_k", F.struct(*key_fields(key, files))).withColumn("_row", F.monotonically_increasing_id())
+    # Cut first: the numbers that tell equal rows apart must be the same on both sides of the join.
+    marked = cut(files.withColumn("_k", F.struct(*key_fields(key, files))).withColumn("_row", F.monotonically_increasing_id()), "survivors")
     whole = marked.where(" and ".join(f"{c} is not null" for c in by))
     best = whole.groupBy(*by).agg(F.min(F.struct("_k", "_row")).alias("_best"))
     joined = marked.join(best, by, "left")
     dup = F.coalesce(F.struct("_k", "_row") != F.col("_best"), F.lit(False))
-    return joined.withColumn("is_duplicate", dup).drop("_k", "_row", "_best").select(*files.columns, "is_duplicate")
+    return joined.withColumn("is_duplicate", dup).select(*files.columns, "is_duplicate")
 
 
 def key_fields(key: Column, files: DataFrame) -> list[Column]:
@@ -32,15 +35,16 @@ def key_fields(key: Column, files: DataFrame) -> list[Column]:
 
 
 def arrival_duplicates(files: DataFrame, by: list[str], arrival: str, key: Column | None = None) -> DataFrame:
-    """files with is_duplicate as a stream would decide it in order of arrival: a file is kept if it ranks below all
-    that came before it in its group. Exact, so that a group is sorted; use survivors() where order doesn't matter."""
+    """files with is_duplicate as a stream would decide it in order of arrival (which must tell the files of a group
+    apart): a file is kept if it ranks below all that came before it in its group. A group is spread over tasks."""
     key = key if key is not None else survivor_key()
-    w = Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     some = F.lit(True)
     for c in by:
         some = some & F.col(c).isNotNull()
-    before = files.withColumn("_k", key).withColumn("_before", F.min("_k").over(w))
-    return before.withColumn("is_duplicate", F.coalesce(some & (F.col("_before") <= F.col("_k")), F.lit(False))).select(*files.columns, "is_duplicate")
+    keyed = files.withColumn("_k", F.struct(*key_fields(key, files)))
+    whole = running(keyed.where(some), by, [arrival], {"_before": ("min", F.col("_k"))}, before=True)
+    decided = whole.select(*files.columns, F.coalesce(F.col("_before") <= F.col("_k"), F.lit(False)).alias("is_duplicate"))
+    return decided.unionByName(files.where(~some).withColumn("is_duplicate", F.lit(False)))
 
 
 def duplicate_groups(files: DataFrame, by: list[str], size: str = "file_size", member: str = "file_id", key: Column | None = None) -> DataFrame:

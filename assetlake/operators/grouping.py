@@ -33,18 +33,33 @@ def link_pairs(files: DataFrame, pairs: DataFrame, path: str = "source_path", me
 
 def sidecars(files: DataFrame, path: str = "source_path", extensions: tuple[str, ...] = tuple(rules.dotted(rules.SIDECAR))) -> DataFrame:
     """(video_path, sidecar_path): sidecars in the folder of a video that have its stem, or whose name begins with its
-    whole name, whatever their case (v.srt, v.mp4.srt, v.mp4.en.srt)."""
+    whole name, whatever their case and whatever follows (v.srt, v.mp4.srt, v.mp4_en.srt)."""
     p = F.col(path)
     d = files.select(p.alias("path"), parent_dir(p).alias("dir"), F.lower(basename(p)).alias("name"), F.lower(stem(p)).alias("stem"), F.lower(extension(p)).alias("ext"))
     videos = d.where(F.col("ext").isin(*rules.dotted(rules.VIDEO))).select(F.col("path").alias("video_path"), "dir", F.col("name").alias("video_name"), F.col("stem").alias("video_stem"))
     cars = d.where(F.col("ext").isin(*extensions)).select(F.col("path").alias("sidecar_path"), "dir", "name", "stem")
-    # Each leading part of a sidecar's name that ends before a dot may be a video's name, or be its stem: equi-joins.
-    heads = cars.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\."))), lambda i: F.array_join(F.slice(F.split("name", r"\."), 1, i), ".")))).alias("head"))
+    # Each leading part of a sidecar's name that ends in the extension of a video may be a video's name, or be its stem: equi-joins.
+    leading = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))
+    heads = cars.select("*", F.explode(F.filter(leading, lambda x: x.rlike(r"\.(" + "|".join(rules.VIDEO.split()) + r")\z"))).alias("head"))
     whole = heads.join(videos, (heads.dir == videos.dir) & (heads["head"] == videos.video_name)).select("video_path", "sidecar_path")
     same = cars.join(videos, (cars.dir == videos.dir) & (cars.stem == videos.video_stem)).select("video_path", "sidecar_path")
     return whole.unionByName(same).distinct()
 
 
+def sidecar_copies(sidecars: DataFrame, destinations: DataFrame) -> DataFrame:
+    """(video_path, sidecar_path, destination_path) of the sidecars of videos that are copied, each named after its
+    video's new name: by the stem alone if it has the video's stem, else by the whole name and what followed it.
+    destinations: video_path, destination_path of the videos; sidecars of others are left out."""
+    j = sidecars.join(destinations.where("destination_path is not null").select("video_path", F.col("destination_path").alias("_to")), "video_path")
+    video, car, to = F.col("video_path"), F.col("sidecar_path"), F.col("_to")
+    base, own = F.lower(basename(video)), basename(car)
+    extended = F.lower(own).startswith(base)
+    cut_off = lambda x, ext: F.substring(x, F.lit(1), F.length(x) - F.length(ext))
+    tail = F.substring(own, F.length(base) + 1, F.length(own))
+    named = F.when(extended, F.concat(cut_off(to, extension(to)), extension(video), tail)).otherwise(F.concat(cut_off(to, extension(to)), extension(car)))
+    return j.select("video_path", "sidecar_path", named.alias("destination_path"))
+
+
 def burst_layer(files: DataFrame, keys: list[Column], least: int, layer: str, member: str = "file_id", name: str = "source_path") -> DataFrame:
     """(layer, burst_key, member, burst_index) of groups of at least `least` files with equal keys, nulls being equal.
     Members are numbered from 0 by lower-case name, then id."""

@@ -9,8 +9,9 @@ from assetlake.config import Config
 from assetlake.functions import dates, media, paths
 from assetlake.functions.ids import norm_hash, norm_id, phash_bits
 from assetlake.functions.records import current_records, current_sessions
-from assetlake.operators import dedup, destinations, grouping, scan, similarity
+from assetlake.operators import dedup, destinations, grouping, review, scan, similarity
 from assetlake.plans import reports
+from assetlake.rules import ENCODER_WORDS
 from assetlake.plans.assets import ASSETS_SQL, assets, table
 from assetlake.plans.functions_q import EXT, HASH, ID, P, REASON_SQL, category_of, category_sql, in_list, label_sql, name, name_date_sql, sanitized, stem, type_sql
 
@@ -49,16 +50,18 @@ def record_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_groups(r, ["session_key", "sha"], key=key)
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
-    return assets(spark, d).where("file_id % 9 = 0").select("sha256_hash")
+def _accepted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "hashes").select(norm_hash("sha256_hash").alias("sha"))
 
 
 def manifest_semi(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.in_manifest(assets(spark, d), _marked(spark, d)).select("file_id")
+    """Images of the catalogue that were accepted before."""
+    return dedup.in_manifest(records(spark, d).where("file_type = 'image'"), _accepted(spark, d), "sha").select("file_id", "sha")
 
 
 def manifest_anti(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.not_in_manifest(assets(spark, d), _marked(spark, d)).select("file_id")
+    """Current records whose content no accepted file has."""
+    return dedup.not_in_manifest(records(spark, d), _accepted(spark, d), "sha").select("file_id", "sha")
 
 
 def records_known(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +78,11 @@ def manifest_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(spark, d)
-    m = a.where("file_id % 5 <> 0").select("source_path", (F.col("file_size") + F.when(F.col("file_id") % 7 == 0, 1).otherwise(0)).alias("file_size"), (F.col("mtime") + F.when(F.col("file_id") % 11 == 0, 1.0).otherwise(0.0)).alias("mtime"), F.col("file_id").alias("id"))
-    return scan.changed_since(a, m).select("file_id", "change")
+    """The latest row of each path that scans have filed against the rows filed for it before."""
+    m = table(spark, d, "source_manifest").select(F.col("file_path").alias("source_path"), "file_size", "mtime", "id").where("source_path is not null")
+    last = m.groupBy("source_path").agg(F.max_by(F.struct("file_size", "mtime", "id"), "id").alias("l")).select("source_path", "l.*")
+    before = m.join(last.select("id"), "id", "left_anti")
+    return scan.changed_since(last, before).select("id", "change")
 
 
 def rescan_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -103,23 +108,71 @@ def pair_exactly_one(spark: SparkSession, d: str) -> DataFrame:
     return grouping.raw_jpeg_pairs(assets(spark, d))
 
 
-def record_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs among all files that scans have found."""
-    m = table(spark, d, "source_manifest").select(F.col("file_path").alias("source_path"), "source_dir").distinct()
-    return grouping.raw_jpeg_pairs(m)
+def pair_link(spark: SparkSession, d: str) -> DataFrame:
+    a = assets(spark, d)
+    return grouping.link_pairs(a, grouping.raw_jpeg_pairs(a)).where("pair_id is not null").select("file_id", "pair_id")
 
 
-def pair_link(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "source_manifest").groupBy(F.col("file_path").alias("source_path"), "source_dir").agg(F.max("id").alias("file_id"))
-    return grouping.link_pairs(m, grouping.raw_jpeg_pairs(m)).where("pair_id is not null").select("file_id", "pair_id")
+def warned(spark: SparkSession, d: str) -> DataFrame:
+    """What a preview of the records warns of, with a million bytes free, and of the pairs of the assets."""
+    r = records(spark, d)
+    p = reports.space_check(reports.preview(r).withColumn("free", F.lit(1_000_000)), "estimated_bytes", "free")
+    stubs = r.agg(F.count(paths.cloud_stub(P(), F.col("file_size"))).alias("cloud_stubs"))
+    pairs = grouping.raw_jpeg_pairs(assets(spark, d)).agg(F.count(F.lit(1)).alias("unresolved_pairs"))
+    return reports.preview_warnings(p.crossJoin(stubs).crossJoin(pairs))  # one row each
+
+
+def space_shortfall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the records of each session fit into as many bytes as its library has accepted in all."""
+    free = table(spark, d, "hashes").agg(F.sum("file_size").alias("free"))
+    r = records(spark, d).groupBy("session_key").agg(F.sum("file_size").alias("bytes"))
+    return reports.space_check(r.join(F.broadcast(free)), "bytes", "free").select("session_key", "required_bytes", "passes", "shortfall_bytes")
+
+
+def saved_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.duplicate_savings(reports.preview(records(spark, d))).select("duplicates_found", "saved_bytes")
 
 
-def pairs_unresolved(spark: SparkSession, d: str) -> DataFrame:
-    """RAW and JPEG pairs by the policy of their RAW record."""
+def sidecar_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Where the sidecars of the assets' videos go."""
+    to = assets(spark, d).select(P().alias("video_path"), F.concat(F.lit("/library/new-"), "file_id", F.lower(paths.extension(P()))).alias("destination_path"))
+    return grouping.sidecar_copies(sidecar_match(spark, d), to)
+
+
+def reclassify(spark: SparkSession, d: str) -> DataFrame:
+    """Records after the sure suggestions of the review are taken."""
     r = records(spark, d)
-    p = grouping.raw_jpeg_pairs(r.select("source_path", "source_dir").distinct())
-    policy = r.groupBy("source_path").agg(F.max("pair_policy").alias("policy"))
-    return p.join(policy, p.raw_path == policy.source_path, "left").groupBy(F.coalesce("policy", F.lit("none")).alias("policy")).agg(F.count(F.lit(1)).alias("pairs"))
+    s = review_suggestions(spark, d).where("confidence > 0.5 and suggested <> 'Collection'").select("file_id", F.col("suggested").alias("category"))
+    to = F.concat(F.lit("/library/"), "category", F.lit("/"), paths.basename(P()))
+    return review.reclassified(r, s, to).select("file_id", "category", "destination_path")
+
+
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a run couldn't copy, if those without a size are gone: not there, or without a destination."""
+    seen = records(spark, d).where("file_size > 0").select("source_path")
+    return review.stage_errors(records(spark, d).select("file_id", "source_path", "destination_path"), seen).where("stage_error is not null").select("file_id", "stage_error")
+
+
+def tag_picks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each artist the most frequent genre, the first album and the first valid year by file."""
+    a = table(spark, d, "audio").where("artist is not null").select("artist", "file_id", "album", "genre", "year").distinct()
+    g = a.groupBy("artist", "genre").agg(F.count(F.lit(1)).alias("n"))
+    tags = g.groupBy("artist").agg(F.sort_array(F.collect_list(F.struct(F.col("genre").alias("name"), F.col("n").alias("count")))).alias("tags"))
+    rows = a.groupBy("artist").agg(F.sort_array(F.collect_list(F.struct("file_id", "album", F.col("year").cast("string").alias("year"), "genre"))).alias("rows"))
+    j = tags.join(rows, "artist")
+    return j.select("artist", media.top_tag(F.col("tags")).alias("genre"), media.first_named(F.col("rows"), "album").alias("album"), media.first_year(F.col("rows.year")).alias("year"))
+
+
+def probed(spark: SparkSession, d: str) -> DataFrame:
+    """The videos of the catalogue as a prober would print them, read back."""
+    from assetlake.sources.media import probe_metadata
+
+    v = table(spark, d, "video").distinct()
+    text = lambda c: F.col(c).cast("string")
+    tags = F.struct(F.col("make"), F.col("model").alias("com.apple.quicktime.model"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creation_time"), F.when(F.col("has_location"), "+1+1/").alias("location"))
+    streams = F.array(F.struct(F.lit("audio").alias("codec_type"), F.lit("1").alias("width"), F.lit("1").alias("height"), F.struct(F.lit("x").alias("encoder")).alias("tags")), F.struct(F.lit("video").alias("codec_type"), text("width").alias("width"), text("height").alias("height"), F.struct("encoder").alias("tags")))
+    doc = F.to_json(F.struct(F.struct(text("duration_seconds").alias("duration"), tags.alias("tags")).alias("format"), streams.alias("streams")))
+    return v.select("file_id", probe_metadata(doc).alias("m")).select("file_id", "m.make", "m.model", "m.width", "m.height", "m.has_location", "m.date", "m.encoder").distinct()
 
 
 def sidecar_match(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +185,7 @@ def _shots(spark: SparkSession, d: str) -> DataFrame:
 
 def burst_layered(spark: SparkSession, d: str) -> DataFrame:
     a = _shots(spark, d)
-    found = grouping.bursts(a, media.camera_key(F.col("make"), F.col("model")), F.col("date"), F.col("file_id") % 40 < 2, Config().burst_filename_patterns)
+    found = grouping.bursts(a, media.camera_key(F.col("make"), F.col("model")), F.col("date"), F.col("has_location"), Config().burst_filename_patterns)
     return found.select("layer", "file_id", "burst_index")
 
 
@@ -275,8 +328,10 @@ def history_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_resumable(spark: SparkSession, d: str) -> DataFrame:
-    s = current_sessions(table(spark, d, "sessions"))
-    return s.where("state in ('stopped', 'error', 'paused')").orderBy(F.desc("created_at"), "session_key").limit(1).select("session_key", "state")
+    """Of each destination the latest session that was stopped or broke off."""
+    s = table(spark, d, "sessions").where(norm_id("id").isNotNull()).groupBy(norm_id("id").alias("session_key")).agg(F.max_by(F.struct("destination_dir", "created_at", F.lower(F.trim("state")).alias("state")), F.struct("updated_at", "created_at")).alias("s"))
+    some = s.select("session_key", "s.*").where("state in ('stopped', 'error')")
+    return some.groupBy("destination_dir").agg(F.max_by(F.struct("session_key", "state"), F.struct("created_at", "session_key")).alias("l")).select("destination_dir", "l.*")
 
 
 def transition_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +373,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     stream_ingest, event_windows, dedup_survivor, dedup_arrival, dedup_groups, record_groups, manifest_semi, manifest_anti, records_known, manifest_merge, incremental_diff, rescan_diff, scan_report,
-    completed_anti, pair_exactly_one, record_pairs, pair_link, pairs_unresolved, sidecar_match, burst_layered, burst_time_layer, date_tiers, day_majority, type_majority,
+    completed_anti, pair_exactly_one, pair_link, warned, space_shortfall, saved_bytes, sidecar_plan, reclassify, staged, tag_picks, probed, sidecar_match, burst_layered, burst_time_layer, date_tiers, day_majority, type_majority,
     neighbour_majority, similar_pairs, similar_vectors, dest_path, collision_suffix, record_destinations, session_stats, preview_summary, preview_by_category, organized,
     preview_skip_reasons, record_categories, record_skip_reasons, detail_report, space_check, undo_verify, review_suggestions, high_confidence, running_progress,
     history_listing, latest_resumable, transition_audit, session_rollup, category_size_estimate)}
@@ -346,7 +401,7 @@ def _pairs(source: str, path: str = "source_path") -> str:
 FROM {source} GROUP BY regexp_replace(source_dir, '/+$', ''), lower({stem(path)}) HAVING count(*) FILTER ({e} IN {raw}) = 1 AND count(*) FILTER ({e} IN {jpeg}) = 1"""
 
 
-_TIER = f"""tier AS (SELECT *, {name_date_sql(f"{stem('source_path')}")} AS nd FROM assets),
+_TIER = f"""tier AS (SELECT *, {name_date_sql(f"{name('source_path')}")} AS nd FROM assets),
 dated AS (SELECT *, CASE WHEN date_original IS NOT NULL THEN date_original ELSE nd.date END AS date FROM tier)"""
 _CAT = category_sql()
 _DEST = f"""{_TIER}, c AS (SELECT *, {type_sql("source_path")} AS file_type, {_CAT} AS category, coalesce(strftime(date, '%Y'), '0000') AS year,
@@ -380,19 +435,49 @@ review AS (SELECT file_id,
     WHEN dn IS NOT NULL OR df IS NOT NULL THEN 'Date found in filename' WHEN most IS NOT NULL THEN 'Most files in same folder are categorised as ' || most ELSE 'No better category found' END AS reason FROM q)"""
 
 
+_DONE = "status = 'completed'"
+_STUBS = f"WHEN suffix(source_path, '.icloud') OR suffix(source_path, '.cloud') OR suffix(source_path, '.odopen') OR suffix(source_path, '.dropbox') OR suffix(source_path, '.dropbox.attr') OR (lower({EXT.format('source_path')}) IN ('.gdoc', '.gsheet', '.gslides') AND file_size = 0) THEN 1"
+_RUNS = "lower(trim(state)) AS state, row_number() OVER (PARTITION BY {id} ORDER BY updated_at DESC, created_at DESC) AS rn"
+
 SQL = {
+    "manifest_semi": f"{_R} SELECT file_id, sha FROM records WHERE file_type = 'image' AND sha IN (SELECT {HASH.format('sha256_hash')} FROM hashes WHERE sha256_hash IS NOT NULL)",
+    "manifest_anti": f"{_R}, h AS (SELECT DISTINCT {HASH.format('sha256_hash')} AS h FROM hashes) SELECT file_id, sha FROM records LEFT JOIN h ON sha = h WHERE h IS NULL",
+    "incremental_diff": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id DESC) AS rn FROM source_manifest WHERE file_path IS NOT NULL),
+j AS (SELECT l.id, b.id AS old, l.file_size AS z, b.file_size AS bz, l.mtime AS t, b.mtime AS bt FROM m l LEFT JOIN m b ON b.file_path = l.file_path AND b.rn = 2 WHERE l.rn = 1)
+SELECT id, CASE WHEN old IS NULL THEN 'new' WHEN z IS DISTINCT FROM bz THEN 'size' ELSE 'mtime' END AS change FROM j WHERE old IS NULL OR z IS DISTINCT FROM bz OR t IS DISTINCT FROM bt""",
+    "pair_link": f"{_A}, p AS ({_pairs('assets')}), j AS (SELECT r.file_id AS r, q.file_id AS q FROM p JOIN assets r ON r.source_path = raw_path JOIN assets q ON q.source_path = jpeg_path) SELECT r AS file_id, q AS pair_id FROM j UNION ALL SELECT q, r FROM j",
+    "warned": f"""{_A}, {RECORDS}, p AS ({_pairs('assets')}),
+f AS (SELECT count(*) AS t, count(*) FILTER ({_DONE}) AS c, count(*) FILTER (status = 'skipped' AND skip_reason = 'exact duplicate') AS dup, count(*) FILTER (date_source = 'inferred') AS inf,
+  CAST(ceil(CAST(sum(file_size) FILTER ({_DONE}) AS BIGINT) * 1.3::DOUBLE * 1.1::DOUBLE) AS BIGINT) - 1000000 AS lack, count(CASE {_STUBS} END) AS stubs, (SELECT count(*) FROM p) AS pairs FROM records)
+SELECT 0 AS n, printf('Insufficient disk space: %.1f MB shortfall', lack / 1048576.0::DOUBLE) AS warning FROM f WHERE lack > 0
+UNION ALL SELECT 1, printf('High duplicate ratio: %.0f%% of files are duplicates', dup * 100.0::DOUBLE / t) FROM f WHERE dup * 2 > t
+UNION ALL SELECT 2, printf('%d files have inferred dates (%.0f%% of files to copy)', inf, inf * 100.0::DOUBLE / c) FROM f WHERE inf * 4 > c
+UNION ALL SELECT 3, printf('%d cloud stub(s) detected — files may not be downloaded locally', stubs) FROM f WHERE stubs > 0
+UNION ALL SELECT 4, printf('%d RAW+JPEG pair(s) have no pair policy set', pairs) FROM f WHERE pairs > 0""",
+    "space_shortfall": f"{_R}, r AS (SELECT session_key, CAST(ceil(CAST(coalesce(sum(file_size), 0) AS BIGINT) * 1.3::DOUBLE * 1.1::DOUBLE) AS BIGINT) AS need, (SELECT CAST(sum(file_size) AS BIGINT) FROM hashes) AS free FROM records GROUP BY 1) SELECT session_key, need AS required_bytes, need <= free AS passes, greatest(need - free, 0) AS shortfall_bytes FROM r",
+    "saved_bytes": f"{_R}, f AS (SELECT count(*) FILTER (status = 'skipped' AND skip_reason = 'exact duplicate') AS dup, count(*) FILTER ({_DONE}) AS c, CAST(sum(file_size) FILTER ({_DONE}) AS BIGINT) AS b FROM records) SELECT dup AS duplicates_found, CAST(CASE WHEN dup > 0 AND c > 0 AND b > 0 THEN floor(dup * (b::DOUBLE / c)) ELSE 0 END AS BIGINT) AS saved_bytes FROM f",
+    "sidecar_plan": f"""{_A}, f AS (SELECT file_id, source_path, regexp_extract(source_path, '(?s)^(.*)/[^/]*$', 1) AS dir, {name("source_path")} AS own, lower({stem("source_path")}) AS s, {EXT.format("source_path")} AS e FROM assets),
+j AS (SELECT DISTINCT v.source_path AS video_path, c.source_path AS sidecar_path, v.file_id, v.own AS vn, v.e AS ve, c.own AS cn, c.e AS ce FROM f v JOIN f c ON v.dir = c.dir AND (v.s = c.s OR starts_with(lower(c.own), lower(v.own)))
+  WHERE lower(v.e) IN {in_list(["." + x for x in "mp4 mov avi mkv wmv flv webm m4v mpg mpeg 3gp 3g2 mts m2ts ts vob ogv divx asf rm rmvb f4v".split()])} AND lower(c.e) IN ('.thm', '.srt', '.sub', '.lrc', '.xmp', '.aae'))
+SELECT video_path, sidecar_path, '/library/new-' || file_id || CASE WHEN starts_with(lower(cn), lower(vn)) THEN ve || substr(cn, length(vn) + 1) ELSE ce END AS destination_path FROM j""",
+    "reclassify": f"{_review()} SELECT r.file_id, coalesce(CASE WHEN confidence > 0.5 AND suggested <> 'Collection' THEN suggested END, r.category) AS category, CASE WHEN confidence > 0.5 AND suggested <> 'Collection' THEN '/library/' || suggested || '/' || {name('source_path')} ELSE destination_path END AS destination_path FROM records r LEFT JOIN review USING (file_id)",
+    "staged": f"{_R}, m AS (SELECT DISTINCT source_path AS file_path FROM records WHERE file_size > 0) SELECT file_id, CASE WHEN file_path IS NULL THEN 'file not found: ' || coalesce(source_path, '') ELSE 'no destination path' END AS stage_error FROM records LEFT JOIN m ON source_path = file_path WHERE file_path IS NULL OR coalesce(destination_path, '') = ''",
+    "tag_picks": """WITH a AS (SELECT DISTINCT artist, file_id, album, genre, year FROM audio WHERE artist IS NOT NULL),
+g AS (SELECT artist, genre, count(*) AS n FROM a WHERE coalesce(genre, '') <> '' GROUP BY ALL), t AS (SELECT artist, genre FROM g QUALIFY row_number() OVER (PARTITION BY artist ORDER BY n DESC, genre) = 1),
+o AS (SELECT *, row(file_id, coalesce(album, ''), coalesce(CAST(year AS VARCHAR), ''), coalesce(genre, '')) AS k FROM a)
+SELECT o.artist, any_value(t.genre) AS genre, arg_min(album, k) FILTER (coalesce(album, '') <> '') AS album, arg_min(year, k) FILTER (year BETWEEN 1900 AND 2100) AS year FROM o LEFT JOIN t USING (artist) GROUP BY o.artist""",
+    "probed": f"""WITH v AS (SELECT DISTINCT file_id, nullif(trim(make), '') AS make, nullif(trim(model), '') AS model, width, height, coalesce(has_location, false) AS has_location, date_trunc('second', date) AS date, nullif(trim(encoder), '') AS encoder FROM video),
+c AS (SELECT *, coalesce(regexp_matches(lower(make), '{"|".join(ENCODER_WORDS)}'), false) OR coalesce(regexp_matches(lower(model), '{"|".join(ENCODER_WORDS)}'), false) AS coded FROM v)
+SELECT DISTINCT file_id, CASE WHEN NOT coded THEN make END AS make, CASE WHEN NOT coded THEN model END AS model, width, height, has_location, date, encoder FROM c""",
+    "latest_resumable": f"WITH s AS (SELECT {ID.format('id')} AS session_key, destination_dir, created_at, {_RUNS.format(id=ID.format('id'))} FROM sessions) SELECT destination_dir, session_key, state FROM s WHERE rn = 1 AND session_key IS NOT NULL AND state IN ('stopped', 'error') QUALIFY row_number() OVER (PARTITION BY destination_dir ORDER BY created_at DESC, session_key DESC) = 1",
     "stream_ingest": f"{_R} SELECT DISTINCT sha AS sha256_hash FROM records WHERE sha IS NOT NULL",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "dedup_survivor": f"{_A} SELECT file_id, row_number() OVER (PARTITION BY sha256_hash ORDER BY length(source_path), mtime, source_path) > 1 AND sha256_hash IS NOT NULL AS is_duplicate FROM assets",
     "dedup_arrival": f"{_A} SELECT a.file_id, a.sha256_hash IS NOT NULL AND EXISTS (SELECT 1 FROM assets b WHERE b.sha256_hash = a.sha256_hash AND b.arrival < a.arrival AND row(length(b.source_path), b.mtime, b.source_path) <= row(length(a.source_path), a.mtime, a.source_path)) AS is_duplicate FROM assets a",
     "dedup_groups": f"{_A} SELECT session_id, sha256_hash, arg_min(file_id, row(length(source_path), mtime, source_path, file_id)) AS winner_file_id, count(*) AS file_count, CAST(sum(file_size) - arg_min(file_size, row(length(source_path), mtime, source_path, file_id)) AS BIGINT) AS bytes_saved FROM assets WHERE sha256_hash IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
     "record_groups": f"{_R} SELECT session_key, sha, arg_min(file_id, row(length(source_path), source_path, file_id)) AS winner_file_id, count(*) AS file_count, CAST(sum(file_size) - arg_min(file_size, row(length(source_path), source_path, file_id)) AS BIGINT) AS bytes_saved FROM records WHERE sha IS NOT NULL AND session_key IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
-    "manifest_semi": f"{_A} SELECT file_id FROM assets WHERE sha256_hash IN (SELECT sha256_hash FROM assets WHERE file_id % 9 = 0)",
-    "manifest_anti": f"{_A} SELECT file_id FROM assets WHERE NOT EXISTS (SELECT 1 FROM assets m WHERE m.file_id % 9 = 0 AND m.sha256_hash = assets.sha256_hash)",
     "records_known": f"{_R} SELECT file_id FROM records WHERE sha IN (SELECT {HASH.format('sha256_hash')} FROM hashes WHERE sha256_hash IS NOT NULL)",
     "manifest_merge": f"SELECT {HASH.format('sha256_hash')} AS sha256_hash, epoch_us(max(added_at)) AS added_us FROM hashes WHERE added_at IS NOT NULL AND {HASH.format('sha256_hash')} IS NOT NULL GROUP BY 1",
-    "incremental_diff": f"""{_A}, m AS (SELECT source_path, arg_max(row(file_size + CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END, mtime + CASE WHEN file_id % 11 = 0 THEN 1 ELSE 0 END), file_id) AS v FROM assets WHERE file_id % 5 <> 0 GROUP BY 1)
-SELECT file_id, CASE WHEN v IS NULL THEN 'new' WHEN file_size <> v[1] THEN 'size' ELSE 'mtime' END AS change FROM assets LEFT JOIN m USING (source_path) WHERE v IS NULL OR file_size <> v[1] OR mtime <> v[2]""",
     "rescan_diff": """WITH mid AS (SELECT (min(id) + max(id)) // 2 AS mid FROM source_manifest),
 late AS (SELECT file_path, arg_max(row(file_size, mtime), id) AS v FROM source_manifest, mid WHERE id > mid GROUP BY 1),
 early AS (SELECT file_path, arg_max(row(file_size, mtime), id) AS w FROM source_manifest, mid WHERE id <= mid GROUP BY 1)
@@ -401,13 +486,10 @@ FROM late LEFT JOIN early USING (file_path) WHERE w IS NULL OR v[1] IS DISTINCT
     "scan_report": f"{_A} SELECT coalesce({REASON_SQL}, 'kept') AS reject_reason, count(*) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM assets GROUP BY 1",
     "completed_anti": f"{_R} SELECT file_id FROM records WHERE source_path NOT IN (SELECT source_path FROM records WHERE status = 'completed' AND source_path IS NOT NULL)",
     "pair_exactly_one": f"{_A} {_pairs('assets')}",
-    "record_pairs": f"WITH u AS (SELECT DISTINCT file_path AS source_path, source_dir FROM source_manifest) {_pairs('u')}",
-    "pair_link": f"WITH u AS (SELECT file_path AS source_path, source_dir, max(id) AS file_id FROM source_manifest GROUP BY 1, 2), p AS ({_pairs('u')}), j AS (SELECT r.file_id AS r, q.file_id AS q FROM p JOIN u r ON r.source_path = raw_path JOIN u q ON q.source_path = jpeg_path) SELECT r AS file_id, q AS pair_id FROM j UNION ALL SELECT q, r FROM j",
-    "pairs_unresolved": f"{_R}, u AS (SELECT DISTINCT source_path, source_dir FROM records), p AS ({_pairs('u')}), pol AS (SELECT source_path, max(pair_policy) AS policy FROM records GROUP BY 1) SELECT coalesce(policy, 'none') AS policy, count(*) AS pairs FROM p LEFT JOIN pol ON raw_path = source_path GROUP BY 1",
     "sidecar_match": f"""{_A}, f AS (SELECT source_path, regexp_extract(source_path, '(?s)^(.*)/[^/]*$', 1) AS dir, lower({name("source_path")}) AS n, lower({stem("source_path")}) AS s, lower({EXT.format("source_path")}) AS e FROM assets)
-SELECT DISTINCT v.source_path AS video_path, c.source_path AS sidecar_path FROM f v JOIN f c ON v.dir = c.dir AND (v.s = c.s OR starts_with(c.n, v.n || '.') OR c.n = v.n)
+SELECT DISTINCT v.source_path AS video_path, c.source_path AS sidecar_path FROM f v JOIN f c ON v.dir = c.dir AND (v.s = c.s OR starts_with(c.n, v.n))
 WHERE v.e IN ('.mp4', '.mov', '.avi', '.mkv', '.wmv', '.flv', '.webm', '.m4v', '.mpg', '.mpeg', '.3gp', '.3g2', '.mts', '.m2ts', '.ts', '.vob', '.ogv', '.divx', '.asf', '.rm', '.rmvb', '.f4v') AND c.e IN ('.thm', '.srt', '.sub', '.lrc', '.xmp', '.aae')""",
-    "burst_layered": f"""{_A}, {_TIER}, s AS (SELECT file_id, source_path, date, date_trunc('second', date) AS sec, file_id % 40 < 2 AS flagged, {stem("source_path")} AS st, lower({name("source_path")}) AS nm,
+    "burst_layered": f"""{_A}, {_TIER}, s AS (SELECT file_id, source_path, date, date_trunc('second', date) AS sec, has_location AS flagged, {stem("source_path")} AS st, lower({name("source_path")}) AS nm,
   CASE WHEN coalesce(make, '') = '' THEN nullif(model, '') WHEN coalesce(model, '') = '' THEN make WHEN starts_with(lower(model), lower(make)) THEN model ELSE make || ' - ' || model END AS cam FROM dated),
 l1 AS (SELECT *, count(*) OVER (PARTITION BY cam, sec) AS n FROM s WHERE flagged), b1 AS (SELECT file_id, 'exif' AS layer, row_number() OVER (PARTITION BY cam, sec ORDER BY nm, file_id) - 1 AS burst_index FROM l1 WHERE n >= 2),
 s2 AS (SELECT * FROM s WHERE file_id NOT IN (SELECT file_id FROM b1)),
@@ -416,7 +498,7 @@ c2 AS (SELECT *, count(*) OVER (PARTITION BY pre, cam) AS n FROM l2), b2 AS (SEL
 c3 AS (SELECT *, count(*) OVER (PARTITION BY cam, sec) AS n FROM s2 WHERE date IS NOT NULL AND file_id NOT IN (SELECT file_id FROM b2)), b3 AS (SELECT file_id, 'time' AS layer, row_number() OVER (PARTITION BY cam, sec ORDER BY nm, file_id) - 1 AS burst_index FROM c3 WHERE n >= 3)
 SELECT layer, file_id, burst_index FROM b1 UNION ALL SELECT layer, file_id, burst_index FROM b2 UNION ALL SELECT layer, file_id, burst_index FROM b3""",
     "burst_time_layer": "WITH e AS (SELECT event_id, event_type, date_trunc('hour', ts) AS h FROM events), c AS (SELECT *, count(*) OVER (PARTITION BY event_type, h) AS n FROM e) SELECT event_id AS file_id, row_number() OVER (PARTITION BY event_type, h ORDER BY CAST(event_id AS VARCHAR), event_id) - 1 AS burst_index FROM c WHERE n >= 3",
-    "date_tiers": f"""{_A}, tier AS (SELECT *, {name_date_sql(f"{stem('source_path')}")} AS nd FROM assets) SELECT file_id,
+    "date_tiers": f"""{_A}, tier AS (SELECT *, {name_date_sql(f"{name('source_path')}")} AS nd FROM assets) SELECT file_id,
   coalesce(date_original, nd.date, CASE WHEN file_id % 3 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' END) AS date,
   CASE WHEN date_original IS NOT NULL THEN 'metadata' WHEN nd IS NOT NULL THEN 'parsed' WHEN file_id % 3 = 0 THEN 'inferred' ELSE 'none' END AS source,
   CASE WHEN date_original IS NOT NULL THEN 1.0::DOUBLE WHEN nd IS NOT NULL THEN nd.confidence WHEN file_id % 3 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM tier""",
@@ -445,7 +527,6 @@ SELECT x.b AS code_a, y.b AS code_b, 1 - bit_count(xor(x.b, y.b)) / 64.0::DOUBLE
     "high_confidence": f"{_review()} SELECT suggested, count(*) AS files FROM review WHERE confidence > 0.7 AND suggested <> 'Collection' GROUP BY 1",
     "running_progress": f"{_R} SELECT file_id, count(*) OVER w AS files_done, CAST(sum(coalesce(file_size, 0)) OVER w AS BIGINT) AS bytes_done FROM records WINDOW w AS (PARTITION BY session_key ORDER BY created_at, file_id ROWS UNBOUNDED PRECEDING)",
     "history_listing": f"WITH s AS (SELECT {ID.format('id')} AS session_key, arg_max(row(created_at, state, source_dirs, is_archived), row(updated_at, created_at)) AS s FROM sessions GROUP BY 1), x AS (SELECT session_key, epoch_us(s[1]) AS created_us, lower(trim(s[2])) AS state, len(s[3]) - 1 AS more, regexp_extract(regexp_replace(s[3][1], '/+$', ''), '([^/]*)$', 1) AS f FROM s WHERE NOT coalesce(s[4], false)) SELECT session_key, created_us, state, CASE WHEN more > 0 THEN printf('%s (+%d more)', f, more) ELSE f END AS folders FROM x",
-    "latest_resumable": f"WITH s AS (SELECT {ID.format('id')} AS session_key, arg_max(lower(trim(state)), row(updated_at, created_at)) AS state, arg_max(created_at, row(updated_at, created_at)) AS c FROM sessions GROUP BY 1) SELECT session_key, state FROM s WHERE state IN ('stopped', 'error', 'paused') ORDER BY c DESC, session_key LIMIT 1",
     "transition_audit": "WITH e AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events) SELECT a, b, count(*) AS n FROM e WHERE a IS NOT NULL GROUP BY 1, 2",
     "session_rollup": f"{_R} SELECT session_key, file_type, category, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(grouping_id(session_key, file_type, category) AS BIGINT) AS level FROM records GROUP BY ROLLUP (session_key, file_type, category)",
     "category_size_estimate": f"{_R}, t AS (SELECT CAST(sum(file_size) AS DOUBLE) / count(*) AS avg FROM records WHERE status = 'completed') SELECT category, count(*) AS files, CAST(floor(count(*) * any_value(avg)) AS BIGINT) AS bytes FROM records, t WHERE status = 'completed' AND category <> '' GROUP BY 1",

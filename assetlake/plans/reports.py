@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import paths
 from assetlake.functions.dates import name_date
 from assetlake.functions.media import screenshot_size
 from assetlake.rules import SOCIAL_PREFIXES, first_match
+from assetlake.runtime import running
 
 
 def session_stats(records: DataFrame, groups: DataFrame, by: str = "session_key") -> DataFrame:
@@ -53,6 +54,37 @@ def space_needed(bytes_: Column) -> Column:
     return F.ceil(bytes_ * F.lit(1.3) * F.lit(1.1)).cast("bigint")
 
 
+def space_check(needs: DataFrame, bytes_: str, available: str) -> DataFrame:
+    """needs with required_bytes, passes, shortfall_bytes: whether the bytes to copy fit into those available."""
+    out = needs.withColumn("required_bytes", space_needed(F.coalesce(F.col(bytes_), F.lit(0))))
+    lack = F.col("required_bytes") - F.col(available)
+    return out.withColumns({"passes": lack <= 0, "shortfall_bytes": F.greatest(lack, F.lit(0))})
+
+
+def duplicate_savings(preview: DataFrame) -> DataFrame:
+    """A preview with saved_bytes: duplicates times the mean size of the files to copy, 0 unless all three are above 0."""
+    mean = F.col("estimated_bytes") / F.col("files_to_copy")
+    some = (F.col("duplicates_found") > 0) & (F.col("files_to_copy") > 0) & (F.col("estimated_bytes") > 0)
+    return preview.withColumn("saved_bytes", F.when(some, F.floor(F.col("duplicates_found") * mean)).otherwise(0).cast("bigint"))
+
+
+def preview_warnings(facts: DataFrame) -> DataFrame:
+    """(n, warning) in their order: what a preview warns of. facts: one row of total_files, files_to_copy,
+    duplicates_found, inferred_dates, shortfall_bytes, cloud_stubs and unresolved_pairs."""
+    c = F.col
+    dup, inferred = c("duplicates_found") / c("total_files"), c("inferred_dates") / c("files_to_copy")
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    # Fixed output texts and thresholds.
+    told = F.array(
+        F.when(c("shortfall_bytes") > 0, text("Insufficient disk space: ", F.format_string("%.1f", c("shortfall_bytes") / F.lit(1048576.0)), " MB shortfall")),
+        F.when((c("total_files") > 0) & (dup > 0.5), text("High duplicate ratio: ", F.format_string("%.0f", dup * 100), "% of files are duplicates")),
+        F.when((c("files_to_copy") > 0) & (inferred > 0.25), text(c("inferred_dates").cast("string"), " files have inferred dates (", F.format_string("%.0f", inferred * 100), "% of files to copy)")),
+        F.when(c("cloud_stubs") > 0, text(c("cloud_stubs").cast("string"), " cloud stub(s) detected \u2014 files may not be downloaded locally")),
+        F.when(c("unresolved_pairs") > 0, text(c("unresolved_pairs").cast("string"), " RAW+JPEG pair(s) have no pair policy set")),
+    )
+    return facts.select(F.posexplode(told).alias("n", "warning")).where("warning is not null")
+
+
 def undo_check(records: DataFrame, listing: DataFrame, by: str = "session_key") -> DataFrame:
     """Destination files of each session that are still there, by a listing (path, bytes); safe if nine tenths are."""
     there = listing.groupBy("path").agg(F.max("bytes").alias("bytes"))
@@ -76,6 +108,7 @@ def review_suggestions(records: DataFrame, sizes: tuple, tolerance: int) -> Data
     ours = records.where("category = 'Collection' and status = 'completed'")
     votes = majority(records.where("status = 'completed' and category not in ('', 'Collection')"), ["source_dir"], "category").select("source_dir", F.col("category").alias("_most"))
     path, image = F.col("source_path"), F.col("file_type") == "image"
+    # Fixed output texts and confidences.
     name, date = paths.basename(path), F.coalesce(name_date(paths.stem(path), 0.8), name_date(paths.parent_name(path), 0.6))
     made = lambda cat, sure, why: F.struct(cat.alias("suggested"), sure.alias("confidence"), why.alias("reason"))
     social = first_match([(name.startswith(p), p) for p in SOCIAL_PREFIXES])
@@ -91,9 +124,9 @@ def review_suggestions(records: DataFrame, sizes: tuple, tolerance: int) -> Data
 
 
 def running_progress(records: DataFrame, by: list[str], order: list[str], size: str = "file_size") -> DataFrame:
-    """records with files and bytes done so far, in order, by group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return records.select("*", F.count(F.lit(1)).over(w).alias("files_done"), F.sum(F.coalesce(F.col(size), F.lit(0))).over(w).alias("bytes_done"))
+    """records with files and bytes done so far, in order, by group. A group is spread over tasks; order must tell its
+    rows apart."""
+    return running(records, by, order, {"files_done": ("sum", F.lit(1)), "bytes_done": ("sum", F.coalesce(F.col(size), F.lit(0)))})
 
 
 def session_rollup(records: DataFrame) -> DataFrame:

@@ -151,22 +151,50 @@ def skew_lookup(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
     return left.where(is_hot).join(small, key, "left").unionByName(left.where(~is_hot).join(right, key, "left"))
 
 
+def _chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df sorted over all tasks at once, with the task of each row: a key with a third of all rows is held by many."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()), "chunks")
+
+
+def _with_earlier(parts: DataFrame, keys: list[str], per: DataFrame, earlier: dict[str, Column]) -> DataFrame:
+    """parts with columns that tell of the rows of its keys in earlier chunks. per: keys, _chunk and aggregates."""
+    names = [*keys, "_chunk"]
+    told = per.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(names)), *(c.alias(n) for n, c in earlier.items()))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(names)]
+    return parts.join(told, same, "left").drop(*(f"_o{i}" for i in range(len(names))))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """df with `out`: the row's place from 1 among those of its keys, by `order`, which must tell all rows apart.
 
-    Rows are sorted over all tasks at once, counted by key and task, and numbered from what came in tasks before: a
-    key with a third of all rows is sorted by many tasks.
+    Rows are sorted over all tasks at once, counted by key and task, and numbered from what came in tasks before.
     """
-    parts = cut(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()), "ranked")
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy(*keys, "_chunk").count()
-    offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    names = [*keys, "_chunk"]
-    offsets = offsets.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(names)), "_offset")
-    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(names)]
-    joined = parts.join(offsets, same, "left").drop(*(f"_o{i}" for i in range(len(names))))
+    parts = _chunks(df, keys, order)
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    joined = _with_earlier(parts, keys, parts.groupBy(*keys, "_chunk").count(), {"_offset": F.coalesce(F.sum("count").over(past), F.lit(0))})
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return joined.withColumn(out, (F.row_number().over(within) + F.col("_offset")).cast("bigint")).drop("_chunk", "_offset")
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "scratch_dir", "seen_of", "shared_dir", "ship", "sieved", "skew_lookup"]
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+    """df with a running aggregate for each of `values`, name to ('sum' or 'min', value), by `order`, which must tell all
+    rows of a key apart. before: of the rows before this one only, null for the first.
+
+    As ranked(): what a task's rows add to comes from aggregates of the tasks before, so that no task holds a hot key.
+    """
+    parts = _chunks(df.withColumns({f"_v{i}": v for i, (_, v) in enumerate(values.values())}), keys, order)
+    how = {"sum": F.sum, "min": F.min}
+    kinds = [kind for kind, _ in values.values()]
+    per = parts.groupBy(*keys, "_chunk").agg(*(how[k](f"_v{i}").alias(f"_a{i}") for i, k in enumerate(kinds)))
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    joined = _with_earlier(parts, keys, per, {f"_p{i}": how[k](f"_a{i}").over(past) for i, k in enumerate(kinds)})
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+
+    def total(i: int, kind: str) -> Column:
+        here, past = how[kind](f"_v{i}").over(within), F.col(f"_p{i}")
+        return F.least(here, past) if kind == "min" else F.when(here.isNotNull() | past.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)))
+
+    return joined.select(*df.columns, *(total(i, k).alias(n) for i, (n, k) in enumerate(zip(values, kinds))))
+
+
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "ranked", "running", "scratch_dir", "seen_of", "shared_dir", "ship", "sieved", "skew_lookup"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -64,6 +65,61 @@ def deleted(paths: DataFrame, path: str = "destination_path") -> DataFrame:
     return paths.where(F.col(path).isNotNull()).select(path).mapInPandas(run, f"{path} string, removed boolean")
 
 
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def compared(pairs: DataFrame, source: str = "source_path", target: str = "destination_path", quick: bool = True) -> DataFrame:
+    """pairs' source and target with same and error: whether two files have equal contents. quick: files of different
+    sizes aren't read. What can't be read is not the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf[source], pdf[target]):
+                try:
+                    differs = quick and os.path.getsize(a) != os.path.getsize(b)
+                    out.append((not differs and file_digest(a) == file_digest(b), None))
+                except OSError as e:
+                    out.append((False, str(e)))
+            yield pd.DataFrame({source: pdf[source], target: pdf[target], "same": [x[0] for x in out], "error": [x[1] for x in out]})
+
+    return pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(source, target).mapInPandas(run, f"{source} string, {target} string, same boolean, error string")
+
+
+class WriterLock:
+    """One writer for a catalogue: a file that names its process; that of a process which has ended is taken over."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __enter__(self) -> WriterLock:
+        for _ in range(2):
+            try:
+                with open(self.path, "x") as f:
+                    f.write(str(os.getpid()))
+                return self
+            except FileExistsError:
+                if self._alive():
+                    raise RuntimeError(f"{self.path} is held by another writer") from None
+                os.unlink(self.path)
+        raise RuntimeError(f"{self.path} can't be taken")
+
+    def _alive(self) -> bool:
+        try:
+            with open(self.path) as f:
+                os.kill(int(f.read()), 0)
+        except (ValueError, ProcessLookupError, FileNotFoundError):
+            return False
+        except PermissionError:
+            pass
+        return True
+
+    def __exit__(self, *_) -> None:
+        os.unlink(self.path)
+
+
 def remove_empty_parents(folders: list[str], stop: str) -> int:
     """Removes empty folders from these upwards, as far as `stop`; how many."""
     removed = 0

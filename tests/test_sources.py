@@ -82,7 +82,7 @@ def test_mp4_atoms(spark):
 
 
 def test_printed_metadata(spark):
-    probe = '{"format": {"duration": "12.3456", "tags": {"make": " ", "com.apple.quicktime.make": "Apple", "creation_time": "2024-03-15T10:00:00.000000Z", "location": "+1+2/"}}, "streams": [{"width": 10}]}'
+    probe = '{"format": {"duration": "12.3456", "tags": {"make": " ", "com.apple.quicktime.make": "Apple", "creation_time": "2024-03-15T10:00:00.000000Z", "location": "+1+2/"}}, "streams": [{"codec_type": "video", "width": 10}]}'
     coded = '{"format": {"tags": {"make": "Lavf58"}}}'
     p = [r[0] for r in spark.createDataFrame([(probe,), (coded,), ("junk",), (None,)], "j string").coalesce(1).select(media.probe_metadata(F.col("j"))).collect()]
     assert (p[0].duration_seconds, p[0].make, p[0].has_location, str(p[0].date), p[0].width) == (12.346, "Apple", True, "2024-03-15 10:00:00", 10)
