@@ -25,7 +25,7 @@ PREFIX_SHARE = 0.5
 #: Least soft weighted similarity.
 SIMILAR = 0.8
 
-# Nicknames of given names.
+# Usual nicknames of English given names.
 NICKNAMES = {
     "alexander": "alex al xander sandy sasha lex", "alexandra": "alex sandra sasha", "benjamin": "ben benny benji", "charles": "charlie chuck chas",
     "charlotte": "charlie lottie lotte char", "christopher": "chris kit topher", "daniel": "dan danny", "dorothy": "dot dolly dottie dora dorrie",
@@ -38,12 +38,8 @@ NICKNAMES = {
     "stephen": "steve", "susannah": "sue susie susan suzie suzy sanna zanna", "theodore": "ted theo teddy", "thomas": "tom tommy", "ursula": "uschi ulla ursel ursie",
     "victoria": "vicky tori vic vicki tory vicki", "william": "bill will billy willy liam", "yvonne": "eve vonnie evie vonny yve",
 }
-# Short and other forms of words in names of bands, albums and makers.
-WORDS = {
-    "4tet": "quartet", "qrt": "quartet", "orch": "orchestra", "ch": "chamber", "bros": "brothers", "bnd": "band", "st": "saint", "sess": "sessions",
-    "oth": "other", "cam": "camera", "wks": "works", "opt": "optical", "co": "company", "corp": "corporation", "img": "imaging", "electr": "electronics",
-    "elektronik": "electronics", "hl": "hall", "nites": "nights", "sngs": "songs", "vol": "volume", "v": "volume", "feat": "featuring", "ft": "featuring",
-}
+# Usual abbreviations of English dictionaries in names of bands, albums and makers.
+WORDS = {"bros": "brothers", "co": "company", "corp": "corporation", "feat": "featuring", "ft": "featuring", "orch": "orchestra", "st": "saint", "vol": "volume", "v": "volume"}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 #: Words that many names share count half as much, initials hardly: in a small table they may be rare by chance.
 SHARED = frozenset([*NICKNAMES, *(s for v in NICKNAMES.values() for s in v.split()), *WORDS, *WORDS.values()])
@@ -114,12 +110,20 @@ def token_similarity(a: str, b: str) -> float:
             n = min(len(x), len(y))
             if n >= 4 and edits(x, y) <= (2 if n >= 8 else 1):
                 return 0.9
+    a, b = respelled(a), respelled(b)
+    if a == b:
+        return 0.9
     short, long = sorted((a, b), key=len)
-    if len(short) >= 3 and len(long) > len(short) and (long.startswith(short) or (short[0] == long[0] and not set(short[1:]) & set("aeiou") and _within(short, long))):
+    if len(short) >= 2 and len(long) > len(short) + (len(short) < 3) and (long.startswith(short) or (short[0] == long[0] and not set(short[1:]) & set("aeiou") and _within(short, long))):
         return 0.85
     return 0.0
 
 
+def respelled(t: str) -> str:
+    """A token by its sound: spellings that informal English puts for each other (night, nite; pic, pick; phat, fat)."""
+    return t.replace("ight", "ite").replace("ck", "k").replace("c", "k").replace("ph", "f").replace("4", "quar" if t.endswith("tet") else "for")
+
+
 def _within(short: str, long: str) -> bool:
     rest = iter(long)
     return all(c in rest for c in short)
