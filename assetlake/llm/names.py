@@ -39,7 +39,7 @@ NICKNAMES = {
     "victoria": "vicky tori vic vicki tory vicki", "william": "bill will billy willy liam", "yvonne": "eve vonnie evie vonny yve",
 }
 # Usual abbreviations of English dictionaries in names of bands, albums and makers.
-WORDS = {"bros": "brothers", "co": "company", "corp": "corporation", "feat": "featuring", "ft": "featuring", "orch": "orchestra", "st": "saint", "vol": "volume", "v": "volume"}
+WORDS = {"bros": "brothers", "ch": "chamber", "co": "company", "corp": "corporation", "feat": "featuring", "ft": "featuring", "orch": "orchestra", "st": "saint", "vol": "volume", "v": "volume"}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 #: Words that many names share count half as much, initials hardly: in a small table they may be rare by chance.
 SHARED = frozenset([*NICKNAMES, *(s for v in NICKNAMES.values() for s in v.split()), *WORDS, *WORDS.values()])
